@@ -1,0 +1 @@
+"""No streaming operator is in scope: the engine's inputs are static incidence tables."""
