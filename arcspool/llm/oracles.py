@@ -34,3 +34,9 @@ f as (select *, cast(len(ls) as bigint) as n_lines, cast(len(ls) - len(list_dist
     (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed,
     (not base_failed and {' and '.join(holds)}) as kept from f"""
+
+
+OP6 = r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
+select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
+    doc_id = min(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256 from t"""
