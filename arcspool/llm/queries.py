@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspool.llm import exact_dedup, oracles, quality_rules
+from arcspool.llm import exact_dedup, oracles, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate class."""
+    made = simhash.near_dups(_table(spark, sf_dir, "documents"))
+    return made.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays for its text."""
     made = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return made.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
