@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspool.llm import exact_dedup, oracles, quality_rules, simhash
+from arcspool.llm import exact_dedup, oracles, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
