@@ -40,3 +40,28 @@ OP6 = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
     doc_id = min(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256 from t"""
+
+
+def op5(period: int = 1000, block_docs: int = 16) -> str:
+    return f"""
+with recursive c as (select source, count(*) as n from documents group by source),
+r as (select source, cast(floor(sqrt(n) * 1000000) as bigint) as r from c),
+t as (select source, r, sum(r) over ()::bigint as total, {period} - count(*) over () as free from r),
+q as (select source, 1 + (r * free) // total as q, (r * free) % total as rem from t),
+p as (select source, cast(q + (row_number() over (order by rem desc, source nulls first) <= {period} - sum(q) over ())::int as bigint) as parts from q),
+arr as (select list(parts order by source nulls first) as ms, list(source order by source nulls first) as ss from p),
+s as (
+    select 0::bigint as t, list_transform(ms, lambda x: 0::bigint) as alloc, null::bigint as chosen, null::bigint as k from arr
+  union all
+    select t + 1, list_transform(alloc, lambda a, i: a + (i = pick)::bigint), pick, alloc[pick]
+    from (select t, alloc, list_position(ks, list_min(ks))::bigint as pick from (
+        select t, alloc, list_transform(alloc, lambda a, i: case when a < ms[i] and (a * {period}) // ms[i] <= t
+            then (((a + 1) * {period} + ms[i] - 1) // ms[i]) * 100000 + i else 1000000000000000 end) as ks from s, arr) where t < {period})),
+slots as (select ss[chosen] as source, k, t - 1 as turn from s, arr where chosen is not null),
+d as (select doc_id, source, row_number() over (partition by source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 as nth from documents),
+b as (select doc_id, source, nth // {block_docs} as block, nth % {block_docs} as place from d)
+select b.doc_id, b.source, parts, cast(block as bigint) as block, cast(place as bigint) as place,
+    cast((block * {period}) // parts as bigint) as release, cast(((block + 1) * {period} + parts - 1) // parts as bigint) as due,
+    cast((block // parts) * {period} + turn as bigint) as slot
+from b join p on b.source is not distinct from p.source
+join slots on b.source is not distinct from slots.source and b.block % parts = slots.k"""

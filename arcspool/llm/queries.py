@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspool.llm import exact_dedup, oracles, packing, quality_rules, simhash
+from arcspool.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +44,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
-ORACLES = {"op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its block, release, deadline and slot; weights follow the square roots of the sources' sizes."""
+    made = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return made.select("doc_id", "source", *[F.col(f"mix.{f}").alias(f) for f in ("parts", "block", "place", "release", "due", "slot")])
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py one after another."""
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
+ORACLES = {"op5_mixing": oracles.op5(), "op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
