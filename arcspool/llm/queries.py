@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspool.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash, suffix_dedup
+from arcspool.llm import exact_dedup, lattice_lm, mixing, oracles, packing, quality_rules, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "source", *[F.col(f"mix.{f}").alias(f) for f in ("parts", "block", "place", "release", "due", "slot")])
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base and lattice log10 probabilities; one fold of five is held out."""
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what removing repeated 100-byte strings leaves of it."""
     made = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -61,5 +66,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {"op9_suffix_dedup": op9_suffix_dedup, "pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op8_lattice_lm": op8_lattice_lm, "op9_suffix_dedup": op9_suffix_dedup, "pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op5_mixing": oracles.op5(), "op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
