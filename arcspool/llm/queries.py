@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspool.llm import exact_dedup, lattice_lm, mixing, oracles, packing, quality_rules, simhash, suffix_dedup
+from arcspool.llm import exact_dedup, lattice_lm, mixing, oracles, packing, quality_rules, simhash, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url with its rule and verdict."""
+    made = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return made.select("page_id", *[F.col(f"url_filter.{f}").alias(f) for f in ("host", "path", "rule", "verdict", "score")])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its block, release, deadline and slot; weights follow the square roots of the sources' sizes."""
     made = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -66,5 +72,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {"op8_lattice_lm": op8_lattice_lm, "op9_suffix_dedup": op9_suffix_dedup, "pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op4_url_filter": op4_url_filter, "op8_lattice_lm": op8_lattice_lm, "op9_suffix_dedup": op9_suffix_dedup, "pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op5_mixing": oracles.op5(), "op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
