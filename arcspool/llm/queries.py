@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspool.llm import exact_dedup, lattice_lm, mixing, oracles, packing, quality_rules, simhash, suffix_dedup, url_filter
+from arcspool.llm import exact_dedup, lattice_lm, mixing, oracles, packing, pu_quality, quality_rules, simhash, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of one fold of three are held out."""
+    made = pu_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return made.withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate class."""
     made = simhash.near_dups(_table(spark, sf_dir, "documents"))
@@ -72,5 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {"op4_url_filter": op4_url_filter, "op8_lattice_lm": op8_lattice_lm, "op9_suffix_dedup": op9_suffix_dedup, "pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op1_pu_quality": op1_pu_quality, "op4_url_filter": op4_url_filter, "op8_lattice_lm": op8_lattice_lm, "op9_suffix_dedup": op9_suffix_dedup, "pipeline": pipeline, "op5_mixing": op5_mixing, "op10_packing": op10_packing, "op2_simhash": op2_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op5_mixing": oracles.op5(), "op6_exact_dedup": oracles.OP6, "op7_quality_rules": oracles.op7()}
