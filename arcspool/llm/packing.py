@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from arcspool.plans.stash import shuffle_partitions, small_batches, stash
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 16384
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHED_WORDS = 600_000
 
 
 class BinTree:
@@ -80,27 +81,51 @@ class WordIds:
 
     The tokenizer turns white space into a split and drops it, and no token goes
     over one, so a text's ids are those of its words in order. Only ASCII white
-    space splits here; a word may hold any other.
+    space splits here; a word may hold any other. As the tokenizer lower-cases,
+    A-Z may be lowered first, unless the text might hold a special token. A full
+    stop or comma after an ASCII letter is a token of its own, so a word with one
+    needs only the ids of its stem. The cache has two generations of
+    ``CACHED_WORDS``, so that words in use stay and memory is bounded.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.cache = Tokenizer.from_file(path).encode, {}
+        self.encode, self.cache, self.old = Tokenizer.from_file(path).encode, {}, {}
+        self.marks = {m: self._ids(m) for m in (b".", b",")}
 
-    def __call__(self, text: str) -> bytes:
-        cache, out = self.cache, []
-        for w in text.encode().split():
-            ids = cache.get(w)
+    def _ids(self, word: bytes) -> bytes:
+        return array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _known(self, word: bytes) -> bytes:
+        ids = self.cache.get(word)
+        if ids is None:
+            ids = self.old.get(word)
             if ids is None:
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                ids = np.array(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                if len(w) < 64:
-                    cache[w] = ids
-            out.append(ids)
-        return b"".join(out)
+                mark = self.marks.get(word[-1:]) if word[-2:-1].isalpha() else None
+                ids = self._known(word[:-1]) + mark if mark else self._ids(word)
+            if len(word) < 64:
+                if len(self.cache) >= CACHED_WORDS:
+                    self.old, self.cache = self.cache, {}
+                self.cache[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        raw = text.encode()
+        found = self.cache.get
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        return b"".join([found(w) or self._known(w) for w in words])
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's one cache for a tokenizer, kept over tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -110,7 +135,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for k, x in enumerate(batch.column(2)):
