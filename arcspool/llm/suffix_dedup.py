@@ -78,6 +78,11 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the substrings [start, end), whatever their place."""
+    return _mix((prefix[end] - prefix[start]) * _POWERS.to(len(prefix))[1][start])
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
