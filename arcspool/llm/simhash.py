@@ -235,6 +235,7 @@ def near_dups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     named = nodes.join(comp, "fp")
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     classes = nodes.join(named.join(lows, "comp").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    classes = stash(classes, "classes")  # written, so that the join below may split a fingerprint that many rows share
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
