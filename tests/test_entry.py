@@ -22,8 +22,13 @@ def duck():
 
 
 def values(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(map(str, frame.astype(object).where(frame.notna(), None).values.tolist()))
+    def plain(x):
+        if isinstance(x, str) or x is None or x != x:
+            return x if isinstance(x, str) else None
+        return float(x)
+
+    frame = frame[sorted(frame.columns)].astype(object)
+    return sorted(str([plain(x) for x in row]) for row in frame.where(frame.notna(), None).values.tolist())
 
 
 def test_entry(spark):
