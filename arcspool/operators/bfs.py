@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspool.operators.iterate import KeptArcs, write_counted
+from arcspool.operators.iterate import kept_arcs, write_counted
 from arcspool.plans.stash import drop, stash
 
 
@@ -18,12 +18,11 @@ def bfs(graph, sources: Iterable[int], inf: int | None = None) -> DataFrame:
     is joined with the arcs (broadcast by Spark only where it is small), made
     distinct, and stripped of what earlier levels have seen.
     """
-    arcs, nodes, n = graph.merged()
+    own, nodes, n = kept_arcs(graph)
     sources = list(dict.fromkeys(int(s) for s in sources))
-    if n <= 0 or not sources or any(not 0 <= s < n for s in sources):
+    if not sources or any(not 0 <= s < n for s in sources):
         raise ValueError(f"sources must be nodes from 0 to {n - 1}")
-    spark = arcs.sparkSession
-    own = KeptArcs(arcs, nodes, n)
+    spark = nodes.sparkSession
     named = F.array(*[F.lit(s).cast("long") for s in sources])
     start = spark.range(1).select(F.explode(named).alias("src"))
     frontier = stash(start.select("src", F.col("src").alias("id"), F.lit(0).alias("dist")), "level")
@@ -48,7 +47,6 @@ def bfs(graph, sources: Iterable[int], inf: int | None = None) -> DataFrame:
     seen = levels[0]
     for df in levels[1:]:
         seen = seen.unionByName(df)
-    own.release()
     grid = nodes.select(F.explode(named).alias("src"), "id")
     dist = F.col("dist") if inf is None else F.coalesce("dist", F.lit(inf))
     return grid.join(seen, ["src", "id"], "left").select("src", "id", dist.cast("int").alias("dist"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ class KeptArcs:
         self.name = f"arcs_{uuid.uuid4().hex}"
         rows = arcs.select("row_id", part.alias("part"), "nbr").repartition(buckets, "row_id", "part")
         rows.write.bucketBy(buckets, "row_id", "part").sortBy("row_id", "part").saveAsTable(self.name, format="parquet")
-        self.table = spark.table(self.name)
+        self.table = spark.table(self.name).persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks come from the table again
+        weakref.finalize(self, _drop_table, spark, self.name)
 
     def keyed(self, df: DataFrame, row_id: str) -> DataFrame:
         """``df`` with row_id and part to join with the arcs."""
@@ -45,8 +48,23 @@ class KeptArcs:
         """``df`` joined with the arcs of its rows."""
         return self.table.join(self.keyed(df, row_id), ["row_id", "part"]).drop("part")
 
-    def release(self) -> None:
-        self.table.sparkSession.sql(f"drop table if exists {self.name}")
+
+def _drop_table(spark, name: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # noqa: BLE001  the session has ended; its warehouse goes with it
+        pass
+
+
+def kept_arcs(graph) -> tuple[KeptArcs, DataFrame, int]:
+    """(arcs, nodes, n) of a Hypergraph or an Encoded; made once, used by every algorithm, dropped with the graph."""
+    if getattr(graph, "_kept", None) is None:
+        arcs, nodes, n = graph.merged()
+        if n <= 0:
+            raise ValueError("the hypergraph has no nodes")
+        nodes = stash(nodes, "nodes")
+        graph._kept = KeptArcs(arcs, nodes, n), nodes, n
+    return graph._kept
 
 
 def write_counted(df: DataFrame, tag: str, **measures: Column) -> tuple[DataFrame, dict]:

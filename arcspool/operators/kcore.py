@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspool.operators.iterate import KeptArcs, write_counted
+from arcspool.operators.iterate import kept_arcs, write_counted
 from arcspool.plans.stash import drop
 
 
@@ -13,10 +13,7 @@ class _Peel:
     """The state (id, budget, gone) over rising k."""
 
     def __init__(self, graph):
-        arcs, nodes, self.n = graph.merged()
-        if self.n <= 0:
-            raise ValueError("the hypergraph has no nodes")
-        self.arcs = KeptArcs(arcs, nodes, self.n)
+        self.arcs, nodes, self.n = kept_arcs(graph)
         self.state, _ = write_counted(nodes.select("id", F.col("degree").alias("budget"), F.lit(0).alias("gone")), "core", n=F.count(F.lit(1)))
         self.k = 0
 
@@ -41,10 +38,7 @@ class _Peel:
 
 def k_core(graph, k: int) -> DataFrame:
     """(id, in_core) of every node. The core is the complement of the least set R with: u is in R if its arcs, less those into it from R, are fewer than k."""
-    peel = _Peel(graph)
-    out = peel.to(k)
-    peel.arcs.release()
-    return out
+    return _Peel(graph).to(k)
 
 
 def core_numbers(graph, k_max: int = 5) -> DataFrame:
@@ -55,5 +49,4 @@ def core_numbers(graph, k_max: int = 5) -> DataFrame:
         now = state.select("id", F.when(F.col("in_core"), k).otherwise(0).alias("core"))
         out = now if out is None else out.join(now.withColumnRenamed("core", "c"), "id").select("id", F.greatest("core", "c").alias("core"))
         out, _ = write_counted(out, "cores", n=F.count(F.lit(1)))
-    peel.arcs.release()
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspool.operators.iterate import KeptArcs, write_counted
+from arcspool.operators.iterate import kept_arcs, write_counted
 from arcspool.plans.stash import drop
 
 
@@ -16,10 +16,7 @@ def pagerank(graph, iters: int = 20, alpha: float = 0.85) -> DataFrame:
     shares and the nodes themselves, so hubs combine map-side and no second join
     is needed; the sum over nodes without arcs is observed while writing.
     """
-    arcs, nodes, n = graph.merged()
-    if n <= 0:
-        raise ValueError("the hypergraph has no nodes")
-    own = KeptArcs(arcs, nodes, n)
+    own, nodes, n = kept_arcs(graph)
     idle = F.sum(F.when(F.col("degree") == 0, F.col("pr")).otherwise(0.0))
     pr, seen = write_counted(nodes.select("id", "degree", F.lit(1.0 / n).alias("pr")), "pr", idle=idle)
     for _ in range(iters):
@@ -33,5 +30,4 @@ def pagerank(graph, iters: int = 20, alpha: float = 0.85) -> DataFrame:
         nxt, seen = write_counted(nxt, "pr", idle=idle)
         drop(pr)
         pr = nxt
-    own.release()
     return pr.select("id", "pr")

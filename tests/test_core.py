@@ -151,7 +151,6 @@ def test_hub_parts(spark):
     met = kept.of(nodes.select("id"), "id")
     assert kept.table.select("part").distinct().count() > 5 and met.count() == 540
     assert rows(met, "row_id", "nbr") == rows(arcs, "row_id", "nbr")
-    kept.release()
 
 
 def test_huffman():
