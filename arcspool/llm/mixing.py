@@ -101,10 +101,12 @@ def schedule(df: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     a_src, a_bucket, s_parts, p_src, p_parts = (free_name(df.columns, x) for x in ("a_src", "a_bucket", "s_parts", "p_src", "p_parts"))
     table = slots.select(F.get("all", F.col("i").cast("int"))["source"].alias(s_src), F.col("k").cast("long").alias(s_k), F.col("at").cast("long").alias(s_at))
 
-    rows = df.withColumn(k_md5, md5).withColumn(k_bucket, F.substring(k_md5, 1, 3))
-    rows = rows.withColumn(k_rank, F.row_number().over(Window.partitionBy(source_col, k_bucket).orderBy(k_md5, id_col)) - 1)
-    ahead = ahead.select(F.col("source").alias(a_src), F.col("bucket").alias(a_bucket), F.col("ahead").alias(a_ahead))
-    rows = rows.join(ahead, rows[source_col].eqNullSafe(ahead[a_src]) & (rows[k_bucket] == ahead[a_bucket]))
+    # a key that is never null, so that the join below finds the rows as the window has dealt them
+    named = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string")))
+    rows = df.withColumn(k_md5, md5).withColumn(k_bucket, F.substring(k_md5, 1, 3)).withColumn(k_src, named(F.col(source_col)))
+    rows = rows.withColumn(k_rank, F.row_number().over(Window.partitionBy(k_src, k_bucket).orderBy(k_md5, id_col)) - 1)
+    ahead = ahead.select(named(F.col("source")).alias(a_src), F.col("bucket").alias(a_bucket), F.col("ahead").alias(a_ahead))
+    rows = rows.join(ahead, (rows[k_src] == ahead[a_src]) & (rows[k_bucket] == ahead[a_bucket]))
     quotas = F.broadcast(shares.select(F.col("source").alias(p_src), F.col("parts").alias(p_parts)))
     rows = rows.join(quotas, rows[source_col].eqNullSafe(quotas[p_src]))
     nth = F.col(a_ahead) + F.col(k_rank)
