@@ -45,8 +45,8 @@ from arcspool.plans.stash import shuffle_partitions, small_batches, stash
 LENGTH = 100
 GRAM = 32
 HOT = 4096
-BLOCK = 1 << 20
-ROWS = 1 << 15
+BLOCK = 1 << 19
+ROWS = 12_000
 MAX_LOG_BITS = 30
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
