@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from arcspool.plans.stash import drop, small_batches, stash
 
-ROUNDS = 2
+ROUNDS = 3
 HOT_WORDS = 200_000
 FLOOR = 0.1
 _WORDS_AT_ONCE = 20_000
