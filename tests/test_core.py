@@ -215,3 +215,40 @@ def test_bipartite(t):
     assert rows(bipartite.components(t).where("kind = 'hyperedge'").fillna(-1), "id", "component") == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, -1)]
     assert sum(r[1] for r in rows(bipartite.bipartite_pagerank(t), "id", "pr")) == pytest.approx(1, abs=1e-9)
     assert rows(bipartite.bipartite_k_core(t, 2), "id", "in_core") == [(0, True), (1, True), (2, True), (3, False), (4, False)]
+
+
+def test_text_format_over_many_splits(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    edges = [[rnd.randrange(300) for _ in range(rnd.randrange(6))] for _ in range(700)]
+    back = [[] for _ in range(300)]
+    for e, vs in enumerate(edges):
+        for v in vs:
+            back[v].append(e)
+
+    def side(ls):
+        offs, at = [], 0
+        for x in ls:
+            offs.append(at)
+            at += len(x)
+        return [str(o) for o in offs] + [str(v) for x in ls for v in x]
+
+    m = sum(map(len, edges))
+    tokens = ["AdjacencyHypergraph", "300", str(m), "700", str(m), *side(back), *side(edges)]
+    text, k = "", 0
+    while k < len(tokens):
+        n = rnd.randrange(1, 9)
+        text += rnd.choice(["", "  ", "\n"]) + " ".join(tokens[k : k + n]) + rnd.choice(["\n", "\n\n", " \n"])
+        k += n
+    (tmp_path / "big.hyp").write_text(text)
+    key = "spark.sql.files.maxPartitionBytes"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        g = read_adjacency_hypergraph(spark, f"file://{tmp_path}/big.hyp")
+    finally:
+        spark.conf.set(key, kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert lists(g.side().arcs) == {e: vs for e, vs in enumerate(edges) if vs}
