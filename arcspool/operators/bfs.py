@@ -29,11 +29,11 @@ def bfs(graph, sources: Iterable[int], inf: int | None = None) -> DataFrame:
     levels, level = [frontier], 0
     while level < n:
         level += 1
-        step = own.of(frontier.select("src", "id"), "id").select("src", F.col("nbr").alias("id")).distinct()
+        step = own.of(frontier, "id").select("src", F.col("nbr").alias("id"), (F.col("dist") + 1).alias("dist")).distinct()
         seen = levels[0]
         for df in levels[1:]:
             seen = seen.unionByName(df)
-        fresh = step.join(seen, ["src", "id"], "left_anti").withColumn("dist", F.lit(level))
+        fresh = step.join(seen.select("src", "id"), ["src", "id"], "left_anti")
         frontier, count = write_counted(fresh, "level", n=F.count(F.lit(1)))
         if not count["n"]:
             break
