@@ -205,16 +205,18 @@ def _sharded(fps: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     return out.unionByName(now.select("key", "fp"))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint's bits as a signed long."""
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, fp) of every row; fp is the fingerprint's bits as a signed long. With ``hashed`` also th, a hash of the raw text."""
+    src = df.select(F.col(id_col).alias("id"), *[F.xxhash64(text_col).alias("th")] * hashed, F.col(text_col).cast("string").alias("text"))
+    names = [c for c in src.columns if c != "text"]
+    kinds = dict(src.dtypes)
 
     def run(batches):
         for batch in batches:
-            fp = np.array([simhash(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = np.array([simhash(x.as_py() or b"") for x in batch.column(len(names)).cast(pa.binary())], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, fp long")
+    return src.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "fp long"]))
 
 
 def link_classes(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -240,7 +242,14 @@ def near_dups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its class, with its columns; classes without any id are kept whole."""
-    cid = free_name(df.columns, "class_id")
-    away = near_dups(df, id_col, text_col, radius).where("id is null and component_id is not null or id != component_id").select(F.col("id").alias(cid)).distinct()
-    return df.join(away, df[id_col].eqNullSafe(away[cid]), "left_anti")
+    """The rows of ``df`` that stay, with its columns: of each class the one of the smallest id (null only if the class has no other), of rows with one id that of one text; rows repeated whole stay together."""
+    small_batches(df.sparkSession)
+    rows = stash(fingerprints(df, id_col, text_col, hashed=True), "simhash")
+    nodes = stash(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("low")), "nodes")
+    named = nodes.join(stash(link_classes(nodes.select("fp"), radius), "comp"), "fp", "left")
+    th, kid, kth = (free_name(df.columns, x) for x in ("row_th", "keep_id", "keep_th"))
+    # a class goes by its smallest fingerprint, as classes may have equal ids; a text is in one class only
+    first = named.groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("low").alias("low"))
+    stay = stash(first.select(F.col("low.id").alias(kid), F.col("low.th").alias(kth)), "stay")
+    hit = df.withColumn(th, F.xxhash64(text_col))
+    return hit.join(stay, hit[id_col].eqNullSafe(stay[kid]) & (hit[th] == stay[kth]), "left_semi").drop(th)

@@ -83,3 +83,19 @@ def test_edge_cases(spark):
     assert got == [(False, 1, 1), (False, 2, 1), (False, 3, 3), (False, 3, 3), (True, 0, 3)]
     assert sorted(r.doc_id for r in S.keep_one(df).collect()) == [1, 3, 3]
     assert S.near_dups(df.limit(0)).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    texts = ["one two three four five", "six seven eight nine ten", "a b c d e f g", "k l m n o p q", "u v w x y z"]
+    a, b, c, d, e = texts
+    rows = [
+        (1, a), (None, a.upper()),  # a copy without an id goes ...
+        (None, b),  # ... and a text of its own without an id stays
+        (5, c), (3, c.upper()), (5, d), (6, d.upper()),  # 5 goes for 3 with one text and stands for its class with the other
+        (7, e), (7, e.upper()),  # near copies that share an id
+        (None, "q r s t"), (None, "Q R S T"),  # a class without any id
+    ]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len({r.text.lower() for r in got}) == 6
+    assert {(r.doc_id, r.text) for r in got if r.doc_id not in (None, 7)} == {(1, a), (3, c.upper()), (5, d)}
+    assert (None, b) in {(r.doc_id, r.text) for r in got}
