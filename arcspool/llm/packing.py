@@ -82,7 +82,8 @@ class WordIds:
     The tokenizer turns white space into a split and drops it, and no token goes
     over one, so a text's ids are those of its words in order. Only ASCII white
     space splits here; a word may hold any other. As the tokenizer lower-cases,
-    A-Z may be lowered first, unless the text might hold a special token. A full
+    words of ASCII alone may be lowered first, unless the text might hold a special
+    token; others may compose otherwise in capitals and are left as they are. A full
     stop or comma after an ASCII letter is a token of its own, so a word with one
     needs only the ids of its stem. The cache has two generations of
     ``CACHED_WORDS``, so that words in use stay and memory is bounded.
@@ -114,7 +115,12 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         raw = text.encode()
         found = self.cache.get
-        words = (raw if b"<|" in raw else raw.lower()).split()
+        if b"<|" in raw:
+            words = raw.split()
+        elif text.isascii():
+            words = raw.lower().split()
+        else:
+            words = [w.lower() if w.isascii() else w for w in raw.split()]
         return b"".join([found(w) or self._known(w) for w in words])
 
 

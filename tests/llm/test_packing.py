@@ -64,3 +64,10 @@ def test_first_fit_decreasing():
         want[k] = (b, 100 - room[b])
         room[b] -= n[k]
     assert [(bins[k], off[k]) for k in range(300)] == [want[k] for k in range(300)]
+
+
+def test_decomposed_capitals():
+    ids, tok = P.WordIds(PATH), Tokenizer.from_file(PATH)
+    for text in ["J\u030c", "H\u0331 T\u0308 W\u030a", "aJ\u030cb, Plain É E\u0301 ÜBER Word. PLAIN,", "ALL ascii Here."]:
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids(text), "<u4").tolist() == want
