@@ -20,7 +20,9 @@ over all tasks.
 
 Defined results: rows without a source form a source of their own; null ids are
 ordered first, and rows with equal ids stand next to each other in any order;
-rows of a source without parts get null slots; an empty table gives no rows. All
+rows of a source without parts get null slots; an empty table gives no rows; where
+parts are derived, the period is the first multiple of ``period`` that has a slot
+for each source. All
 input columns are kept, whatever their names; the result is one more struct.
 """
 
@@ -91,6 +93,8 @@ def schedule(df: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     cells = df.select(F.col(source_col).alias("source"), F.substring(md5, 1, 3).alias("bucket")).groupBy("source", "bucket").agg(F.count("*").alias("n"))
     ahead = cells.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counts = cells.groupBy("source").agg(F.sum("n").alias("n"))
+    if parts is None:  # a period that has a part for each source
+        period *= max(1, -(-counts.count() // period))
     shares = derived_parts(counts, period) if parts is None else given_parts(counts, parts)
 
     one = shares.agg(F.array_sort(F.collect_list(F.struct("idx", "source", "parts"))).alias("all")).where(F.size("all") > 0)

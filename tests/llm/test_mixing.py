@@ -42,3 +42,10 @@ def test_edges(spark):
     back = M.mixed(df)
     assert back.columns == df.columns and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert M.mixed(df.limit(0)).count() == 0
+
+
+def test_more_sources_than_the_period(spark):
+    rows = [(i, f"s{i % 1001}") for i in range(1500)]
+    got = M.schedule(spark.createDataFrame(rows, "doc_id long, source string")).select("doc_id", "source", "mix.*").collect()
+    assert len(got) == 1500 and sum(dict((r.source, r.parts) for r in got).values()) == 2000
+    assert all(r.release <= r.slot < r.due for r in got) and len({(r.slot, r.place) for r in got}) == 1500
