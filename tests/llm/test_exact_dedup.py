@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcspool.llm import exact_dedup as E
 from arcspool.llm.queries import op6_exact_dedup
@@ -46,13 +47,65 @@ def test_colliding_fingerprints(spark, monkeypatch):
     assert got == {0: (0, 2, True), 1: (1, 1, True), 2: (0, 2, False), 3: (3, 1, True), 4: (4, 1, True), 5: (5, 2, True), 6: (6, 1, True), 7: (5, 2, False)}
 
 
-def test_chunks_that_differ_are_found(spark):
-    """The comparison itself, over texts that are made to share a key."""
-    class All:
-        words, log_bits = __import__("numpy").full(1, 2**64 - 1, "uint64"), 6
+def test_parts_cut_anywhere_make_the_whole():
+    import random
 
-    df = spark.createDataFrame([("same text",), ("same  text",), ("other",)], "text string")
-    assert E._collided(df, "text", All()).count() == 0
+    rnd = random.Random(3)
+    for text in (b"", b" ", b"a", b" \n a  b\tc ", b"one two  three\n\n", b" " * 50 + b"x" * 9000 + b" \t", bytes(rnd.choice(b"ab \n") for _ in range(3000))):
+        want = E.normalised(text)
+        for _ in range(20):
+            cuts = sorted(rnd.randrange(len(text) + 1) for _ in range(rnd.randrange(6)))
+            pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            parts = [E.Part.of(p) for p in pieces]
+            while len(parts) > 1:  # in any grouping
+                k = rnd.randrange(len(parts) - 1)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            assert parts[0].whole() == (E.fingerprint(want), len(want))
+            flow = E.Normaliser()
+            assert b"".join(flow.feed(p) for p in pieces) == want
+
+
+def test_huge_documents_as_pieces(spark, monkeypatch):
+    """With pieces of a few bytes, everything goes the way of huge documents, and gives the same rows."""
+    texts = [None, "", " ", "a b", " ".join(f"w{i}" for i in range(500)), "  ".join(f"w{i}" for i in range(500)), "é " * 300 + "\n", "é  " * 300, "\n" * 700, "\t" * 900 + " "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in E.exact_dedup(df).drop("th").collect())
+    assert [w[1] for w in want] == [0, 0, 2, 3, 4, 4, 6, 6, 2, 2]
+    for huge, piece in ((100, 37),):
+        monkeypatch.setattr(E, "HUGE", huge)
+        monkeypatch.setattr(E, "PIECE", piece)
+        monkeypatch.setattr(E, "COMPARED", 50)
+        assert sorted(tuple(r) for r in E.exact_dedup(df).drop("th").collect()) == want
+        assert sorted(r.doc_id for r in E.drop_copies(df).collect()) == [0, 2, 3, 4, 6]
+
+
+class Everything:
+    """A sieve that passes all."""
+
+    words, log_bits = __import__("numpy").full(1, 2**64 - 1, "uint64"), 6
+
+
+@pytest.mark.parametrize("huge", [1 << 22, 100])
+def test_chunks_that_differ_are_found(spark, monkeypatch, huge):
+    """Texts that are made to share a key and differ in one chunk, the first, a middle or the last."""
+    monkeypatch.setattr(E, "HUGE", huge)
+    monkeypatch.setattr(E, "PIECE", 64)
+    monkeypatch.setattr(E, "COMPARED", 16)
+    base = "0123456789abcdef" * 20
+    for at in (0, 150, 319):
+        other = base[:at] + "#" + base[at + 1 :]
+        same = [base, base, base]
+        for texts, found in ((same, 0), ([base, other, base], 1)):
+            df = spark.createDataFrame([(t,) for t in texts], "text string")
+            if huge > 1000:
+                monkeypatch.setattr(E, "fingerprint", lambda data: (7, 7))
+                assert E._collided(df, "text", Everything()).count() == found
+                monkeypatch.undo()
+                monkeypatch.setattr(E, "HUGE", huge)
+                monkeypatch.setattr(E, "COMPARED", 16)
+            else:
+                table = df.select(F.lit(-1).cast("long").alias("rid"), F.xxhash64("text").alias("th"), F.lit(5).cast("long").alias("fp"), F.lit(320).cast("long").alias("n_bytes"))
+                assert E._collided(df, "text", Everything(), table).count() == found
 
 
 def test_edges(spark):
