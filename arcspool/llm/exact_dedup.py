@@ -169,9 +169,11 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def _pieces(df: DataFrame) -> DataFrame:
     """``df`` with its binary column ``text`` cut into rows: no, the last number, piece."""
-    cut = F.expr(f"transform(sequence(0L, greatest(0L, octet_length(text) - 1L) div {PIECE}), i -> substring(text, cast(i * {PIECE} + 1 as int), {PIECE}))")
+    last = F.expr(f"cast(greatest(0L, octet_length(text) - 1L) div {PIECE} as int)")
+    cut = F.expr(f"transform(sequence(0, last), i -> substring(text, i * {PIECE} + 1, {PIECE}))")
     rest = [c for c in df.columns if c != "text"]
-    return df.select(*rest, cut.alias("cut")).select(*rest, (F.size("cut") - 1).alias("last"), F.posexplode("cut").alias("no", "piece"))
+    each = df.withColumn("last", last).select(*rest, "last", cut.alias("cut"))  # no row behind the explode holds the text
+    return each.select(*rest, "last", F.posexplode("cut").alias("no", "piece"))
 
 
 def _sha_of_pieces(batches):
