@@ -22,8 +22,10 @@ Defined results: rows without a source form a source of their own; null ids are
 ordered first, and rows with equal ids stand next to each other in any order;
 rows of a source without parts get null slots; an empty table gives no rows; where
 parts are derived, the period is the first multiple of ``period`` that has a slot
-for each source. All
-input columns are kept, whatever their names; the result is one more struct.
+for each source (scheduling takes period times sources steps, on the sources
+alone). All input columns are kept, whatever their names; the result is one more
+struct, the last column, whose name gets underscores in front where the input has
+such a column. Rows of one source with one id are ranked in one task.
 """
 
 from __future__ import annotations
@@ -86,9 +88,10 @@ def edf_slots(parts: Column, period: int) -> Column:
 
 
 def schedule(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", parts: dict | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, out: str = "mix") -> DataFrame:
-    """``df`` with a struct ``out``: parts, block, place (in the block), release, due and slot (longs)."""
+    """``df`` with a struct ``out`` (or a free name like it): parts, block, place (in the block), release, due and slot (longs)."""
     if parts is not None and sum(parts.values()) != period:
         raise ValueError(f"parts must sum to the period of {period}")
+    out = free_name(df.columns, out)
     md5 = _md5(F.col(id_col))
     cells = df.select(F.col(source_col).alias("source"), F.substring(md5, 1, 3).alias("bucket")).groupBy("source", "bucket").agg(F.count("*").alias("n"))
     ahead = cells.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -122,12 +125,12 @@ def schedule(df: DataFrame, source_col: str = "source", id_col: str = "doc_id",
         F.col(p_parts).alias("parts"), j.cast("long").alias("block"), (nth % block_docs).cast("long").alias("place"),
         F.floor(j * period / m).cast("long").alias("release"), F.floor(((j + 1) * period + m - 1) / m).cast("long").alias("due"),
         (F.floor(j / m) * period + F.col(s_at)).cast("long").alias("slot"))
-    return hit.withColumn(out, made).select(*df.columns, out)
+    return hit.withColumn(out, made).select(*["`" + c.replace("`", "``") + "`" for c in df.columns], out)
 
 
 def mixed(df: DataFrame, **how) -> DataFrame:
-    """All rows of ``df`` with its columns, in the order of the schedule (rows without a slot last)."""
+    """All rows of ``df`` with its columns, in the order of the schedule (rows without a slot last, by their blocks)."""
     m = free_name(df.columns, "mix")
     made = schedule(df, out=m, **how)
-    order = [F.col(m)["slot"].asc_nulls_last(), F.col(m)["place"]]
+    order = [F.col(m)["slot"].asc_nulls_last(), F.col(m)["block"], F.col(m)["place"]]
     return made.repartitionByRange(*order).sortWithinPartitions(*order).drop(m)

@@ -6,8 +6,9 @@ shuffle, no user function, and memory bounded by the row being read.
 
 Defined results: a null text counts as empty (no words; base_failed); an empty
 table gives an empty table; repeated rows are judged each on its own; input
-columns beside the text are passed through by ``apply_rules`` and may have any
-name, as measures are kept in one struct under a name that is free.
+columns beside the text are passed through and may have any name, as measures are
+kept in one struct, the last column, whose name gets underscores in front where
+the input has such a column.
 """
 
 from __future__ import annotations
@@ -125,7 +126,8 @@ def compile_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "quality") -> DataFrame:
-    """``df`` with a struct ``out`` of all measures, base_failed and kept."""
+    """``df`` with a struct ``out`` (or a free name like it) of all measures, base_failed and kept."""
+    out = free_name(df.columns, out)
     m = free_name(df.columns, "m")
     seen = df.withColumn(m, measures(df[text]))
     base = (F.col(m)["n_words"] < 20) | (100 * F.col(m)["n_repeat_words"] > 30 * F.col(m)["n_words"])

@@ -45,7 +45,17 @@ def test_edges(spark):
 
 
 def test_more_sources_than_the_period(spark):
-    rows = [(i, f"s{i % 1001}") for i in range(1500)]
+    rows = [(i, f"s{i % 1200}") for i in range(1500)]
     got = M.schedule(spark.createDataFrame(rows, "doc_id long, source string")).select("doc_id", "source", "mix.*").collect()
     assert len(got) == 1500 and sum(dict((r.source, r.parts) for r in got).values()) == 2000
     assert all(r.release <= r.slot < r.due for r in got) and len({(r.slot, r.place) for r in got}) == 1500
+
+
+def test_columns_of_the_same_name_stay(spark):
+    rows = [(None if i % 3 else i, "ab"[i % 2], i, f"x{i}") for i in range(60)]  # and most rows without an id
+    df = spark.createDataFrame(rows, "doc_id long, source string, mix int, `_Mix` string")
+    made = M.schedule(df, parts={"a": 5, "b": 5}, period=10, block_docs=1)
+    assert made.columns == [*df.columns, "__mix"]
+    got = made.collect()
+    assert sorted(tuple(r)[:4] for r in got if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    assert len({r["__mix"].slot for r in got}) == 60 and {r["mix"] for r in got} == set(range(60))

@@ -40,6 +40,13 @@ def test_edges(spark):
     assert Q.apply_rules(df).columns == df.columns and Q.apply_rules(df.limit(0)).count() == 0
 
 
+def test_columns_of_the_same_name_stay(spark):
+    df = spark.createDataFrame([("the word", "mine", 1)], "text string, quality string, m int")
+    made = Q.judge(df)
+    assert made.columns == ["text", "quality", "m", "_quality"]
+    assert made.first()["quality"] == "mine" and made.first()["_quality"].n_words == 2
+
+
 def test_rules_compile(spark):
     df = spark.createDataFrame([("the word " * 20,), ("# " * 30,)], "text string")
     kept = lambda *rules: [r.q.kept for r in Q.judge(df, rules=rules, out="q").collect()]
