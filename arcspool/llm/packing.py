@@ -4,14 +4,17 @@ A document's token ids are followed by one end id. It is cut from its start into
 pieces of ``capacity`` tokens, the last one shorter. Pieces of full length are
 sequences of their own; the others go, longest first, each into the first bin
 that has room. A tournament tree over the bins' free room finds that bin in
-logarithmic time. Groups are dealt at random (by a hash of the row's number) and
-hold about ``group_pieces`` pieces, so a group's memory doesn't grow with the
-table; each is packed by itself and leaves one bin or two that aren't full.
+logarithmic time. Documents are dealt to groups at random (by a hash of the row's
+number) of about ``group_docs`` documents, so a group's memory doesn't grow with
+the table; each is packed by itself and leaves one bin or two that aren't full.
+Where the order of the documents is to reach the sequences (``place``), a group is
+a stretch of ``group_docs`` places instead, and sequence ids rise with the groups.
 
 Only (id, start, length, checksum) of a piece is shuffled; texts and ids never are.
 
 Defined results: null text counts as empty (its only id is the end id); repeated
-rows and null ids are packed like any other row; an empty table gives no rows.
+rows and null ids are packed like any other row; an empty table gives no rows;
+columns beyond id, text and place are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcspool.llm.exprs import free_name
 from arcspool.plans.stash import shuffle_partitions, small_batches, stash
 
 CAPACITY = 4096
 END_ID = 2
-GROUP_PIECES = 16384
+GROUP_DOCS = 16384
 #: Words whose ids a worker keeps in each of two generations.
 CACHED_WORDS = 600_000
 
@@ -134,10 +139,26 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, deal) of every piece of every row; ``deal`` is a random-looking long."""
-    src = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"rid long, id {dict(src.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long"
+def file_places(df: DataFrame, name: str) -> DataFrame:
+    """A scan of Parquet files with the rows' places, in the order in which they were written, in the long column ``name``; anything else is written first."""
+    try:
+        df.select("_metadata.row_index").schema  # noqa: B018  resolves only for a scan
+    except AnalysisException:
+        df = stash(df, "ordered")
+    part, row = free_name(df.columns, "part"), free_name(df.columns, "row")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    rows = df.select("*", F.struct(number.alias("n"), F.col("_metadata.file_name").alias("file")).alias(part), F.col("_metadata.row_index").alias(row))
+    files = rows.groupBy(F.col(part).alias("of")).agg(F.count("*").alias("n"))  # a row for each file
+    files = files.select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name))
+    files = F.broadcast(files)  # no more than the driver lists for the scan
+    return rows.join(files, rows[part] == files["of"]).withColumn(name, (F.col(name) + F.col(row)).cast("long")).drop(part, row, "of")
+
+
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, place: str | None = None) -> DataFrame:
+    """(place, id, start, length, ids_crc32, doc_tokens) of every piece of every row; ``place`` is the column of that name, else a random-looking long."""
+    at = F.col(place).cast("long") if place else F.xxhash64(F.monotonically_increasing_id())
+    src = df.select(at.alias("place"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"place long, id {dict(src.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -155,9 +176,9 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     crc.append(zlib.crc32(raw[4 * s : 4 * (s + m)]))
                     total.append(n)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, pa.int64()) for v in (start, length, crc, total))], names=["rid", "id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, pa.int64()) for v in (start, length, crc, total))], names=["place", "id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return src.mapInArrow(run, schema).withColumn("deal", F.xxhash64("rid", "start")).drop("rid")
+    return src.mapInArrow(run, schema)
 
 
 def _group_packer(capacity: int):
@@ -168,7 +189,7 @@ def _group_packer(capacity: int):
 
         def packed() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            t = t.take(pc.sort_indices(t, sort_keys=[("deal", "ascending"), ("start", "ascending")]))
+            t = t.take(pc.sort_indices(t, sort_keys=[("place", "ascending"), ("start", "ascending")]))
             length = t.column("length").to_numpy()
             bins, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             part = np.flatnonzero(length < capacity)
@@ -176,7 +197,7 @@ def _group_packer(capacity: int):
             full = np.flatnonzero(length == capacity)
             bins[full] = (bins[part].max() + 1 if len(part) else 0) + np.arange(len(full))
             seq = (t.column("grp").to_numpy() << 32) + bins
-            out = t.drop_columns(["grp", "deal"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
+            out = t.drop_columns(["grp", "place"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
             return out.combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -194,12 +215,16 @@ def _group_packer(capacity: int):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id of every row in exactly one piece."""
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS, place: str | None = None) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id of every row in exactly one piece.
+
+    ``place``: a long column of ``df`` with the documents' places from 0, if groups are to follow an order.
+    """
     spark = df.sparkSession
     small_batches(spark)
-    cut = stash(pieces(df, tokenizer, id_col, text_col, capacity, end_id), "pieces")
-    groups = max(1, round(cut.count() / group_pieces))
-    dealt = cut.select(F.pmod("deal", F.lit(groups)).alias("grp"), "*").repartition(min(groups, 8 * shuffle_partitions(spark)), "grp").sortWithinPartitions("grp")
+    cut = stash(pieces(df, tokenizer, id_col, text_col, capacity, end_id, place), "pieces")
+    groups = max(1, round(cut.where("start = 0").count() / group_docs))
+    grp = F.expr(f"place div {int(group_docs)}") if place else F.pmod("place", F.lit(groups))
+    dealt = cut.select(grp.cast("long").alias("grp"), "*").repartition(min(groups, 8 * shuffle_partitions(spark)), "grp").sortWithinPartitions("grp")
     kinds = dict(cut.dtypes)
     return dealt.mapInArrow(_group_packer(capacity), f"id {kinds['id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -71,3 +71,19 @@ def test_decomposed_capitals():
     for text in ["J\u030c", "H\u0331 T\u0308 W\u030a", "aJ\u030cb, Plain É E\u0301 ÜBER Word. PLAIN,", "ALL ascii Here."]:
         want = tok.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids(text), "<u4").tolist() == want
+
+
+def test_groups_are_whole_documents_in_order(spark):
+    """With places, a group's sequences hold a stretch of documents; without, the groups still hold whole documents."""
+    texts = {i: "word " * (5000 if i % 37 == 0 else i % 50) for i in range(400)}
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, place string").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    placed = P.file_places(df, "_place")
+    assert [r.doc_id for r in placed.orderBy("_place").collect()] == [r["_place"] for r in placed.orderBy("doc_id").collect()] == list(range(400))
+    rows = P.pack(placed, PATH, group_docs=60, place="_place").withColumnRenamed("id", "doc_id").collect()
+    check(rows, texts)
+    assert all(r.doc_id // 60 == r.sequence_id >> 32 for r in rows)
+    rows = P.pack(df, PATH, group_docs=60).withColumnRenamed("id", "doc_id").collect()
+    check(rows, texts)
+    assert len({r.sequence_id >> 32 for r in rows}) > 4
+    assert all(len({r.sequence_id >> 32 for r in rows if r.doc_id == d}) == 1 for d in (0, 37, 74))
+    assert P.pack(P.file_places(df.limit(0), "_place"), PATH, place="_place").count() == 0

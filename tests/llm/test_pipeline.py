@@ -50,3 +50,19 @@ def test_stage_columns_and_edges(spark, sf):
     assert C.mix(spark, odd, sf).count() == 3
     assert C.pack(spark, odd, sf).count() == 3
     assert public_tokenizers
+
+
+def test_mixing_reaches_the_sequences(spark, tmp_path):
+    """Each stretch of packed groups holds the sources in the shares of the schedule, not in those of the table."""
+    from arcspool.llm import mixing, packing
+
+    rows = [(i, "word " * (5 + i % 7), "en", "a" if i % 10 else "b", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    parts = {r.source: r.mix.parts / 1000 for r in mixing.schedule(docs).collect()}
+    C.mix(spark, docs, None).write.parquet(str(tmp_path / "mixed"))
+    source = {r[0]: r[3] for r in rows}
+    made = packing.pack(packing.file_places(spark.read.parquet(str(tmp_path / "mixed")), "at"), public_tokenizers.path("word_bpe_49k.json"), group_docs=320, place="at").collect()
+    for grp in range(4):  # while both sources have documents left
+        held = [source[r.id] for r in made if r.sequence_id >> 32 == grp]
+        assert len(held) == 320 and abs(held.count("b") - 320 * parts["b"]) <= 16 and parts["b"] > 0.2
+    assert len(C.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), None).collect()) == 4000
