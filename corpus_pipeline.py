@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``; all but the last return
 the columns of ``documents``. Filtering stages keep every document that their
 operator doesn't reject; mixing keeps all rows and writes them in the order of
-the schedule; packing returns the pieces with their sequences. A null in any
+the schedule; packing takes its groups as stretches of that order, as the files
+hold it, and returns the pieces with their sequences. A null in any
 column, empty texts, repeated rows and empty tables are handled as the
 operators' modules state.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arcspool.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from arcspool.llm.exprs import free_name
 from arcspool.llm.queries import tokenizer_path
 from arcspool.plans.stash import stash
 
@@ -35,7 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    at = free_name(docs.columns, "place")
+    return packing.pack(packing.file_places(docs, at), tokenizer_path(), place=at).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mix), ("packing", pack)]
