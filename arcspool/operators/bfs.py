@@ -1,4 +1,4 @@
-"""Breadth-first search, level by level, from several sources in one loop."""
+"""Breadth-first search, several levels a job, from several sources in one loop."""
 
 from __future__ import annotations
 
@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcspool.operators.iterate import kept_arcs, write_counted
-from arcspool.plans.stash import drop, stash
+from arcspool.plans.stash import drop
 
+#: Levels that are planned, run and written as one job.
+BATCH = 2
 
-def bfs(graph, sources: Iterable[int], inf: int | None = None) -> DataFrame:
+
+def bfs(graph, sources: Iterable[int], inf: int | None = None, batch: int = BATCH) -> DataFrame:
     """(src, id, dist) for every node and source; ``dist`` is null, or ``inf`` if given, where the source doesn't reach.
 
-    ``graph`` is a Hypergraph or an Encoded. Each level is one job: the frontier
-    is joined with the arcs (broadcast by Spark only where it is small), made
-    distinct, and stripped of what earlier levels have seen.
+    ``graph`` is a Hypergraph or an Encoded. A level joins the frontier with the
+    arcs (broadcast by Spark only where it is small) and merges what it reaches
+    into the nodes seen so far, which keep their partitioning from level to level;
+    ``batch`` levels are one job, so a node that was seen is shuffled once a job.
     """
     own, nodes, n = kept_arcs(graph)
     sources = list(dict.fromkeys(int(s) for s in sources))
@@ -24,29 +28,20 @@ def bfs(graph, sources: Iterable[int], inf: int | None = None) -> DataFrame:
         raise ValueError(f"sources must be nodes from 0 to {n - 1}")
     spark = nodes.sparkSession
     named = F.array(*[F.lit(s).cast("long") for s in sources])
-    start = spark.range(1).select(F.explode(named).alias("src"))
-    frontier = stash(start.select("src", F.col("src").alias("id"), F.lit(0).alias("dist")), "level")
-    levels, level = [frontier], 0
+    seen = spark.range(1).select(F.explode(named).alias("src")).select("src", F.col("src").alias("id"), F.lit(0).alias("dist"))
+    level, old = 0, None
     while level < n:
-        level += 1
-        step = own.of(frontier, "id").select("src", F.col("nbr").alias("id"), (F.col("dist") + 1).alias("dist")).distinct()
-        seen = levels[0]
-        for df in levels[1:]:
-            seen = seen.unionByName(df)
-        fresh = step.join(seen.select("src", "id"), ["src", "id"], "left_anti")
-        frontier, count = write_counted(fresh, "level", n=F.count(F.lit(1)))
-        if not count["n"]:
+        for _ in range(batch):
+            front = seen.where(F.col("dist") == level).select("src", "id")
+            step = own.of(front, "id").select("src", F.col("nbr").alias("id"), F.lit(level + 1).alias("found")).distinct()
+            seen = seen.join(step, ["src", "id"], "full").select("src", "id", F.coalesce("dist", "found").alias("dist"))
+            level += 1
+        seen, count = write_counted(seen, "levels", last=F.max("dist"))
+        if old is not None:
+            drop(old)
+        old = seen
+        if count["last"] < level:
             break
-        levels.append(frontier)
-        if len(levels) % 8 == 0:  # keep the union of levels short
-            merged = levels[0]
-            for df in levels[1:]:
-                merged = merged.unionByName(df)
-            old, levels = levels, [stash(merged, "levels")]
-            drop(*[d for d in old if d is not frontier])
-    seen = levels[0]
-    for df in levels[1:]:
-        seen = seen.unionByName(df)
     grid = nodes.select(F.explode(named).alias("src"), "id")
     dist = F.col("dist") if inf is None else F.coalesce("dist", F.lit(inf))
     return grid.join(seen, ["src", "id"], "left").select("src", "id", dist.cast("int").alias("dist"))

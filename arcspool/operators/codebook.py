@@ -15,6 +15,8 @@ from arcspool.plans.stash import stash
 
 #: Codebooks up to so many symbols get an exact tree on the driver and are broadcast; larger ones get canonical codes by a join.
 DRIVER_SYMBOLS = 1 << 17
+#: Of the larger ones, so many of the most frequent symbols are broadcast, as their keys are the hot ones of that join.
+HOT_SYMBOLS = 1 << 17
 
 
 def top_count(n_symbols: int, pct: float) -> int:
@@ -35,7 +37,12 @@ def width_of(largest: int) -> int:
 
 @dataclass
 class Codebook:
-    """``table`` (symbol, freq, code, len); k symbols; ``fallback_bits`` for each other id; ``codes`` on the driver if it's small."""
+    """``table`` (symbol, freq, code, len[, no]); k symbols; ``fallback_bits`` for each other id; ``codes`` on the driver if it's small.
+
+    If it isn't, codes are canonical: ``no`` counts symbols up by length and code,
+    ``spans`` has (length, first code, number of codes) of each length, and the
+    first ``hot`` symbols may be broadcast.
+    """
 
     table: DataFrame
     k: int
@@ -43,9 +50,11 @@ class Codebook:
     fallback_bits: int
     max_sym: int
     codes: list[tuple[int, str]] | None
+    spans: list[tuple[int, int, int]] | None = None
+    hot: int = HOT_SYMBOLS
 
 
-def build(side: Side, pct: float, ranked: DataFrame | None = None, driver_symbols: int = DRIVER_SYMBOLS) -> Codebook:
+def build(side: Side, pct: float, ranked: DataFrame | None = None, driver_symbols: int = DRIVER_SYMBOLS, hot: int = HOT_SYMBOLS) -> Codebook:
     """The codebook of the top ``pct`` percent of the side's symbols."""
     spark = side.arcs.sparkSession
     k = top_count(side.n_symbols, pct)
@@ -60,17 +69,22 @@ def build(side: Side, pct: float, ranked: DataFrame | None = None, driver_symbol
     # one row a frequency comes to the driver: at most about the square root of twice the number of arcs
     histogram = [tuple(r) for r in top.groupBy("freq").agg(F.count("*").alias("n")).collect()]
     runs = canonical(length_runs(histogram))
-    ahead: dict[int, int] = {}
+    by_length: dict[int, tuple[int, int]] = {}
+    for _, length, first, n in runs:
+        low, have = by_length.get(length, (first, 0))
+        by_length[length] = (min(low, first), have + n)
+    lengths, base, passed = [(x, *by_length[x]) for x in sorted(by_length)], {}, 0
+    for length, low, n in lengths:
+        base[length], passed = passed - low, passed + n
     spans, total = [], 0
     for f, length, first, n in runs:
-        spans.append((f, total + 1, total + n, length, first))
+        spans.append((f, total + 1, total + n, length, first, base[length]))
         total += n
-        ahead[f] = total
-    spans_df = spark.createDataFrame(spans, "f long, lo long, hi long, len int, first long")
+    spans_df = spark.createDataFrame(spans, "f long, lo long, hi long, len int, first long, base long")
     hit = top.join(spans_df, (top["freq"] == spans_df["f"]) & (top["rk"] >= spans_df["lo"]) & (top["rk"] <= spans_df["hi"]))
     code = F.expr("lpad(bin(first + (rk - lo)), len, '0')")
-    table = stash(hit.select(F.col("id").alias("symbol"), "freq", code.alias("code"), "len"), "codebook")
-    return Codebook(table, k, pct, width_of(rest), rest, None)
+    table = stash(hit.select(F.col("id").alias("symbol"), "freq", code.alias("code"), "len", F.expr("base + first + (rk - lo)").alias("no")), "codebook")
+    return Codebook(table, k, pct, width_of(rest), rest, None, lengths, hot)
 
 
 def sweep(side: Side, pcts: list[float]) -> DataFrame:

@@ -6,26 +6,33 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcspool.functions import bits
 from arcspool.operators.codebook import Codebook, build
-from arcspool.operators.model import Side
-from arcspool.plans.stash import shuffle_partitions, stash
+from arcspool.operators.model import SEGMENT, Side
+from arcspool.plans.rank import salted
+from arcspool.plans.stash import shuffle_partitions, small_batches, stash
 
-#: A row's neighbours beyond so many go to further segments of its block.
+#: A block's arcs beyond so many go to further segments of it, whether its rows are long or many.
 BLOCK_ARCS = 1 << 20
 
-BLOCKS = "block_id long, segment long, hi binary, lo binary, row_ids array<long>, degrees array<long>, huff_counts array<long>, bit_counts array<long>, bits_hi long, bits_lo long"
+#: ``first_pos``: of each row, the place of its first neighbour in the segment.
+BLOCKS = "block_id long, segment long, hi binary, lo binary, row_ids array<long>, first_pos array<long>, degrees array<long>, huff_counts array<long>, bit_counts array<long>, bits_hi long, bits_lo long"
 
 
 def split_arcs(side: Side, book: Codebook) -> DataFrame:
     """(row_id, pos, nbr, code, len): arcs with their code, null where the neighbour isn't in the codebook."""
-    table = book.table.select("symbol", "code", "len")
+    table, arcs = book.table.select("symbol", "code", "len"), side.arcs
     if book.codes is not None:  # of a checked size
         table = F.broadcast(table)
-    return side.arcs.join(table, side.arcs["nbr"] == table["symbol"], "left").drop("symbol")
+        return arcs.join(table, arcs["nbr"] == table["symbol"], "left").drop("symbol")
+    # the most frequent symbols are hot keys: they are met by a broadcast of a fixed size, and then spread
+    hot = F.broadcast(book.table.where(F.col("no") < book.hot).select("symbol", "code", "len"))
+    met = arcs.join(hot, arcs["nbr"] == hot["symbol"], "left").withColumn("key", F.when(F.col("code").isNull(), F.col("nbr")).otherwise(salted("row_id", "pos")))
+    cold = book.table.where(F.col("no") >= book.hot).select(F.col("symbol").alias("key"), F.col("code").alias("code2"), F.col("len").alias("len2"))
+    return met.join(cold, "key", "left").select("row_id", "pos", "nbr", F.coalesce("code", "code2").alias("code"), F.coalesce("len", "len2").alias("len"))
 
 
 def _encode_block(width: int):
@@ -43,7 +50,7 @@ def _encode_block(width: int):
         ids, first = np.unique(row, return_index=True)
         edge = np.r_[first, len(row)]
         return pa.RecordBatch.from_pylist([{
-            "block_id": key[0], "segment": key[1], "hi": hi, "lo": lo, "row_ids": ids.tolist(), "degrees": np.diff(edge).tolist(),
+            "block_id": key[0], "segment": key[1], "hi": hi, "lo": lo, "row_ids": ids.tolist(), "first_pos": rows.column("pos").to_numpy()[first].tolist(), "degrees": np.diff(edge).tolist(),
             "huff_counts": np.add.reduceat(high.astype(np.int64), first).tolist(), "bit_counts": np.add.reduceat(length, first).tolist(), "bits_hi": n_hi, "bits_lo": n_lo}])
 
     def run(batches):
@@ -73,6 +80,15 @@ class Encoded:
     side: Side
     block_size: int
     _decoded: DataFrame | None = field(default=None, repr=False)
+    _nodes: DataFrame | None = field(default=None, repr=False)
+
+    def of(self, df: DataFrame, row_id: str) -> DataFrame:
+        """``df`` joined with the arcs (row_id, nbr) of its rows, within 0 to n-1; other rows aren't decoded."""
+        from arcspool.operators.decode import decode_of
+
+        df = df.withColumnRenamed(row_id, "row_id")
+        found = decode_of(self, df.select("row_id")).where(F.col("nbr").between(0, self.side.n - 1))
+        return found.select("row_id", "nbr").join(df, "row_id")
 
     def decode(self, rows: list[int] | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
         from arcspool.operators.decode import decode
@@ -86,10 +102,28 @@ class Encoded:
         return self._decoded, self.side.nodes, self.side.n
 
     def write(self, path: str) -> None:
-        """Blocks, ordered by number, and the codebook as Parquet below ``path``."""
+        """Blocks, ordered by number, the codebook and the parameters as Parquet below ``path``."""
+        spark, b = self.blocks.sparkSession, self.book
+        params = [(self.side.n, self.side.n_symbols, self.side.name, self.block_size, b.k, float(b.pct), b.fallback_bits, b.max_sym, b.codes is None, b.hot)]
+        spark.createDataFrame(params, PARAMS).write.parquet(f"{path}/params")
         self.blocks.repartitionByRange("block_id", "segment").sortWithinPartitions("block_id", "segment").write.parquet(f"{path}/blocks")
         self.book.table.write.parquet(f"{path}/codebook")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Encoded:
+        """What ``write`` has written below ``path``: all that decoding and the algorithms need."""
+        p = spark.read.parquet(f"{path}/params").first()
+        blocks, table = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/codebook")
+        codes = spans = None
+        if p.canonical:
+            spans = [tuple(r) for r in table.groupBy("len").agg(F.min(F.conv("code", 2, 10).cast("long")), F.count("*")).orderBy("len").collect()]
+        else:  # of the size that was checked when it was built
+            codes = [tuple(r) for r in table.select("symbol", "code").collect()]
+        each = blocks.select(F.explode(F.arrays_zip("row_ids", "degrees")).alias("e")).groupBy(F.col("e.row_ids").alias("id")).agg(F.sum("e.degrees").alias("degree"))
+        nodes = spark.range(p.n).select("id").join(each, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+        side = Side(None, nodes, p.n, None, p.n_symbols, p.name)
+        return cls(blocks, Codebook(table, p.k, p.pct, p.fallback_bits, p.max_sym, codes, spans, p.hot), side, p.block_size)
+
     def entries(self) -> DataFrame:
         """(row_id, degree, huff_count, bit_count) of every row."""
         each = self.blocks.select(F.explode(F.arrays_zip("row_ids", "degrees", "huff_counts", "bit_counts")).alias("e")).select("e.*")
@@ -125,10 +159,32 @@ class Encoded:
         return t.select("*", kb(F.col("content_bytes")).alias("content_kb"), kb(F.col("tree_bytes")).alias("tree_kb"), kb(F.col("content_bytes") + F.col("tree_bytes")).alias("total_kb"))
 
 
+PARAMS = "n long, n_symbols long, name string, block_size long, k long, pct double, fallback_bits int, max_sym long, canonical boolean, hot long"
+
+
+def _segments(side: Side, keyed: DataFrame, block_size: int) -> DataFrame:
+    """``keyed`` with the number of the segment of its block: of an arc's place among all of the block's arcs."""
+    own = F.col("pos")
+    rows = side.nodes.withColumn("block_id", F.expr(f"id div {int(block_size)}"))
+    dense = rows.groupBy("block_id").agg(F.sum("degree").alias("arcs")).where(F.col("arcs") > BLOCK_ARCS)
+    if not dense.isEmpty():  # elsewhere every arc is in the first segment
+        over = Window.partitionBy("block_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = rows.join(dense, "block_id", "left_semi").select(F.col("id").alias("row_id"), F.coalesce(F.sum("degree").over(over), F.lit(0)).alias("ahead"))
+        hubs = ahead.join(side.nodes.where(F.col("degree") > SEGMENT).select(F.col("id").alias("row_id")), "row_id", "left_semi")
+        other = ahead.join(hubs, "row_id", "left_anti").withColumn("salt", F.lit(0))
+        # a hub's row is met from as many salts as it has parts
+        spread = hubs.join(side.nodes.withColumnRenamed("id", "row_id"), "row_id").select("row_id", "ahead", F.explode(F.expr(f"sequence(0, cast(degree div {SEGMENT} as int))")).alias("salt"))
+        keyed = keyed.withColumn("salt", F.expr(f"cast(pos div {SEGMENT} as int)")).join(other.unionByName(spread), ["row_id", "salt"], "left").drop("salt")
+        own = F.coalesce("ahead", F.lit(0)) + F.col("pos")
+    return keyed.withColumn("segment", F.floor(own / F.lit(BLOCK_ARCS)).cast("long")).drop("ahead")
+
+
 def encode(side: Side, pct: float, block_size: int = 1024, book: Codebook | None = None) -> Encoded:
     """Encode a side with the codebook of its top ``pct`` percent of symbols (or a given one)."""
     spark = side.arcs.sparkSession
     book = book or build(side, pct)
-    keyed = split_arcs(side, book).select(F.expr(f"row_id div {int(block_size)}").alias("block_id"), F.expr(f"pos div {BLOCK_ARCS}").alias("segment"), "row_id", "pos", "nbr", "code", "len")
+    keyed = split_arcs(side, book).withColumn("block_id", F.expr(f"row_id div {int(block_size)}"))
+    keyed = _segments(side, keyed, block_size).select("block_id", "segment", "row_id", "pos", "nbr", "code", "len")
+    small_batches(spark)
     dealt = keyed.repartition(shuffle_partitions(spark), "block_id", "segment").sortWithinPartitions("block_id", "segment", "row_id", "pos")
     return Encoded(stash(dealt.mapInArrow(_encode_block(book.fallback_bits), BLOCKS), "blocks"), book, side, block_size)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcspool.operators.model import SEGMENT
-from arcspool.plans.stash import shuffle_partitions, stash
+from arcspool.plans.stash import drop, shared_dir, shuffle_partitions, stash
 
 
 class KeptArcs:
@@ -33,9 +33,11 @@ class KeptArcs:
         buckets = shuffle_partitions(spark)
         self.name = f"arcs_{uuid.uuid4().hex}"
         rows = arcs.select("row_id", part.alias("part"), "nbr").repartition(buckets, "row_id", "part")
-        rows.write.bucketBy(buckets, "row_id", "part").sortBy("row_id", "part").saveAsTable(self.name, format="parquet")
+        path = f"{shared_dir(spark)}/tables/{self.name}"
+        rows.write.bucketBy(buckets, "row_id", "part").sortBy("row_id", "part").option("path", path).saveAsTable(self.name, format="parquet")
         self.table = spark.table(self.name).persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks come from the table again
-        weakref.finalize(self, _drop_table, spark, self.name)
+        self.table.stash_path = path
+        weakref.finalize(self, _drop_table, spark, self.name, self.table)
 
     def keyed(self, df: DataFrame, row_id: str) -> DataFrame:
         """``df`` with row_id and part to join with the arcs."""
@@ -49,15 +51,29 @@ class KeptArcs:
         return self.table.join(self.keyed(df, row_id), ["row_id", "part"]).drop("part")
 
 
-def _drop_table(spark, name: str) -> None:
+def _drop_table(spark, name: str, table: DataFrame) -> None:
     try:
+        table.unpersist()
         spark.sql(f"drop table if exists {name}")
-    except Exception:  # noqa: BLE001  the session has ended; its warehouse goes with it
+        drop(table)
+    except Exception:  # noqa: BLE001  the session has ended
         pass
 
 
-def kept_arcs(graph) -> tuple[KeptArcs, DataFrame, int]:
-    """(arcs, nodes, n) of a Hypergraph or an Encoded; made once, used by every algorithm, dropped with the graph."""
+def kept_arcs(graph, whole: bool = False):
+    """(arcs, nodes, n) of a Hypergraph or an Encoded; made once, used by every algorithm, dropped with the graph.
+
+    An Encoded gives its own blocks, of which each round decodes the rows it asks
+    for; with ``whole``, for algorithms whose every round asks for all rows, the
+    arcs are decoded once and kept as those of a Hypergraph.
+    """
+    if not whole and hasattr(graph, "of"):
+        arcs, nodes, n = graph, graph.side.nodes, graph.side.n
+        if n <= 0:
+            raise ValueError("the hypergraph has no nodes")
+        if getattr(graph, "_nodes", None) is None:
+            graph._nodes = stash(nodes, "nodes")
+        return arcs, graph._nodes, n
     if getattr(graph, "_kept", None) is None:
         arcs, nodes, n = graph.merged()
         if n <= 0:

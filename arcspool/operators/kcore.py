@@ -8,32 +8,43 @@ from pyspark.sql import functions as F
 from arcspool.operators.iterate import kept_arcs, write_counted
 from arcspool.plans.stash import drop
 
+#: Rounds that are planned, run and written as one job.
+BATCH = 1
+
 
 class _Peel:
-    """The state (id, budget, gone) over rising k."""
+    """The state (id, budget, gone, core) over rising k; gone is the round in which a node went, 0 while it stays."""
 
-    def __init__(self, graph):
+    def __init__(self, graph, batch: int = BATCH):
         self.arcs, nodes, self.n = kept_arcs(graph)
-        self.state, _ = write_counted(nodes.select("id", F.col("degree").alias("budget"), F.lit(0).alias("gone")), "core", n=F.count(F.lit(1)))
-        self.k = 0
+        self.state = nodes.select("id", F.col("degree").alias("budget"), F.lit(0).alias("gone"), F.lit(0).alias("core"))
+        self.k, self.turn, self.batch = 0, 1, batch
+
+    def _mark(self, df: DataFrame) -> DataFrame:
+        falls = (F.col("gone") == 0) & (F.col("budget") < self.k)
+        return df.select("id", "budget", F.when(falls, self.turn).otherwise(F.col("gone")).alias("gone"), "core")
 
     def to(self, k: int) -> DataFrame:
         """Peel for ``k``, not less than before; cores are nested, so the state goes on from the last k."""
         if k < self.k:
             raise ValueError("k must not fall")
         self.k = k
-        mark = lambda df: df.select("id", "budget", F.when(F.col("gone") > 0, 2).when(F.col("budget") < k, 1).otherwise(0).alias("gone"))
-        state, count = write_counted(mark(self.state), "core", fresh=F.sum((F.col("gone") == 1).cast("long")))
-        drop(self.state)
-        while count["fresh"]:
-            fresh = state.where("gone = 1").select("id")
-            taken = self.arcs.of(fresh, "id").groupBy(F.col("nbr").alias("id")).agg(F.count("*").alias("taken"))
-            nxt = state.join(taken, "id", "left").select("id", (F.col("budget") - F.coalesce("taken", F.lit(0))).alias("budget"), "gone")
-            nxt, count = write_counted(mark(nxt), "core", fresh=F.sum((F.col("gone") == 1).cast("long")))
-            drop(state)
-            state = nxt
-        self.state = state
-        return state.select("id", (F.col("gone") == 0).alias("in_core"))
+        state, old = self._mark(self.state), self.state
+        while True:
+            for _ in range(self.batch):
+                fresh = state.where(F.col("gone") == self.turn).select("id")
+                taken = self.arcs.of(fresh, "id").groupBy(F.col("nbr").alias("id")).agg(F.count("*").alias("taken"))
+                self.turn += 1
+                state = self._mark(state.join(taken, "id", "left").select("id", (F.col("budget") - F.coalesce("taken", F.lit(0))).alias("budget"), "gone", "core"))
+            state, seen = write_counted(state, "core", fresh=F.sum((F.col("gone") == self.turn).cast("long")))
+            drop(old)
+            old = state
+            if not seen["fresh"]:
+                break
+        self.turn += 1  # nodes that fall for the next k go in a round of their own
+        self.state = state.select("id", "budget", "gone", F.when(F.col("gone") == 0, k).otherwise(F.col("core")).alias("core"))
+        self.state.stash_path = state.stash_path
+        return self.state.select("id", (F.col("gone") == 0).alias("in_core"))
 
 
 def k_core(graph, k: int) -> DataFrame:
@@ -43,10 +54,7 @@ def k_core(graph, k: int) -> DataFrame:
 
 def core_numbers(graph, k_max: int = 5) -> DataFrame:
     """(id, core): the largest k up to ``k_max`` whose core has the node, 0 if none."""
-    peel, out = _Peel(graph), None
+    peel = _Peel(graph)
     for k in range(1, k_max + 1):
-        state = peel.to(k)
-        now = state.select("id", F.when(F.col("in_core"), k).otherwise(0).alias("core"))
-        out = now if out is None else out.join(now.withColumnRenamed("core", "c"), "id").select("id", F.greatest("core", "c").alias("core"))
-        out, _ = write_counted(out, "cores", n=F.count(F.lit(1)))
-    return out
+        peel.to(k)
+    return peel.state.select("id", "core")

@@ -43,11 +43,11 @@ class Hypergraph:
     def from_incidence(cls, df: DataFrame, edge: str, vertex: str, edges: DataFrame | None = None, vertices: DataFrame | None = None, order: list[Column] | None = None) -> Hypergraph:
         """From a table with a row for each incidence.
 
-        ``edges`` and ``vertices`` (first column: id) give ids without incidences
+        Incidences with a null end are ignored. ``edges`` and ``vertices`` (first column: id) give ids without incidences
         too; by default the domain is 0 to the largest id. ``order`` orders a
         row's neighbours (default: by id).
         """
-        arcs = df.select(F.col(edge).cast("long").alias("edge"), F.col(vertex).cast("long").alias("vertex"), *[c.alias(f"o{i}") for i, c in enumerate(order or [])])
+        arcs = df.select(F.col(edge).cast("long").alias("edge"), F.col(vertex).cast("long").alias("vertex"), *[c.alias(f"o{i}") for i, c in enumerate(order or [])]).where("edge is not null and vertex is not null")
         spark = df.sparkSession
 
         def domain(given, name):

@@ -16,7 +16,7 @@ def pagerank(graph, iters: int = 20, alpha: float = 0.85) -> DataFrame:
     shares and the nodes themselves, so hubs combine map-side and no second join
     is needed; the sum over nodes without arcs is observed while writing.
     """
-    own, nodes, n = kept_arcs(graph)
+    own, nodes, n = kept_arcs(graph, whole=True)
     idle = F.sum(F.when(F.col("degree") == 0, F.col("pr")).otherwise(0.0))
     pr, seen = write_counted(nodes.select("id", "degree", F.lit(1.0 / n).alias("pr")), "pr", idle=idle)
     for _ in range(iters):

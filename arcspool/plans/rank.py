@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from arcspool.plans.stash import stash
 
 
+def salted(*columns: str) -> Column:
+    """A negative key that depends on ``columns``: it meets no id and spreads rows that needn't meet anything."""
+    return -1 - F.pmod(F.xxhash64(*columns), F.lit(1 << 20))
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """``df`` with a 0-based rank ``name`` (long) among the rows of equal ``keys`` (none: of all) in ``order``.
 

@@ -9,6 +9,9 @@ from arcspool.operators.model import Hypergraph
 from arcspool.plans.stash import stash
 
 TAG = "AdjacencyHypergraph"
+#: Tokens that one task places together; neighbours of a row that go on one line.
+CELL = 1 << 16
+LINE = 1 << 12
 
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -32,9 +35,15 @@ def _side(tokens: DataFrame, start: int, n: int, m: int) -> tuple[DataFrame, Dat
     offsets = tokens.where(F.col("at").between(start, start + n - 1)).select((F.col("at") - start).alias("id"), number.alias("o"))
     nxt = offsets.select((F.col("id") - 1).alias("id"), F.col("o").alias("stop"))
     rows = offsets.join(nxt, "id", "left").select("id", "o", (F.coalesce("stop", F.lit(m)) - F.col("o")).alias("degree"))
-    places = rows.where("degree > 0").select(F.col("id").alias("row_id"), "o", F.explode(F.expr("sequence(o, o + degree - 1)")).alias("e"))
+    # a mark where a row begins, and at the start of each further cell that it reaches into; a token is of the last mark before it
+    cells = F.explode(F.expr(f"sequence(o div {CELL}, (o + degree - 1) div {CELL})")).alias("cell")
+    marks = rows.where("degree > 0").select(F.col("id").alias("row_id"), "o", cells)
+    marks = marks.select("cell", F.greatest("o", F.col("cell") * CELL).alias("e"), F.struct("row_id", "o").alias("mark"), F.lit(None).cast("long").alias("nbr"))
     nbrs = tokens.where(F.col("at").between(start + n, start + n + m - 1)).select((F.col("at") - start - n).alias("e"), number.alias("nbr"))
-    return places.join(nbrs, "e").select("row_id", (F.col("e") - F.col("o")).alias("pos"), "nbr"), rows.select("id", "degree")
+    nbrs = nbrs.select(F.expr(f"e div {CELL}").alias("cell"), "e", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), "nbr")
+    order = Window.partitionBy("cell").orderBy("e", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(nbrs).withColumn("of", F.last("mark", ignorenulls=True).over(order)).where("mark is null and of is not null")
+    return placed.select(F.col("of.row_id").alias("row_id"), (F.col("e") - F.col("of.o")).alias("pos"), "nbr"), rows.select("id", "degree")
 
 
 def read_adjacency_hypergraph(spark: SparkSession, path: str) -> Hypergraph:
@@ -58,11 +67,11 @@ def read_adjacency_hypergraph(spark: SparkSession, path: str) -> Hypergraph:
 
 
 def write_adjacency_hypergraph(graph: Hypergraph, path: str) -> None:
-    """Write ``graph`` in the format, as a folder of text parts whose order is the file's: a line for each row of a side."""
+    """Write ``graph`` in the format, as a folder of text parts whose order is the file's: a line or, for a long row, more for each row of a side."""
     spark = graph.arcs.sparkSession
     frames, m = [], graph.arcs.count()
     head = " ".join(map(str, (TAG, graph.n_vertices, m, graph.n_edges, m)))
-    frames.append(spark.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), F.lit(head).alias("value")))
+    frames.append(spark.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("line"), F.lit(head).alias("value")))
     for k, name in enumerate(("vertex", "hyperedge")):
         s = graph.side(name)
         cell = F.expr("id div 4096")
@@ -71,10 +80,10 @@ def write_adjacency_hypergraph(graph: Hypergraph, path: str) -> None:
         ahead = ahead.select("cell", F.coalesce(F.sum("d").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
         own = F.coalesce(F.sum("degree").over(Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = nodes.withColumn("own", own).join(ahead, "cell")
-        frames.append(offsets.select(F.lit(2 * k + 1).alias("part"), "id", (F.col("own") + F.col("ahead")).cast("string").alias("value")))
-        listed = s.arcs.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nbr"))), lambda x: x["nbr"].cast("string")), " ").alias("value"))
-        frames.append(listed.select(F.lit(2 * k + 2).alias("part"), F.col("row_id").alias("id"), "value"))
+        frames.append(offsets.select(F.lit(2 * k + 1).alias("part"), "id", F.lit(0).cast("long").alias("line"), (F.col("own") + F.col("ahead")).cast("string").alias("value")))
+        listed = s.arcs.groupBy("row_id", F.expr(f"pos div {LINE}").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nbr"))), lambda x: x["nbr"].cast("string")), " ").alias("value"))
+        frames.append(listed.select(F.lit(2 * k + 2).alias("part"), F.col("row_id").alias("id"), "line", "value"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    out.repartitionByRange("part", "id").sortWithinPartitions("part", "id").select("value").write.text(path)
+    out.repartitionByRange("part", "id", "line").sortWithinPartitions("part", "id", "line").select("value").write.text(path)

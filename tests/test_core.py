@@ -252,3 +252,125 @@ def test_text_format_over_many_splits(spark, tmp_path):
         spark.conf.set(key, kept)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert lists(g.side().arcs) == {e: vs for e, vs in enumerate(edges) if vs}
+
+
+def random_graph(spark, edges=60, vertices=40, arcs=900, seed=4, **more):
+    import random
+
+    rnd = random.Random(seed)
+    data = [(min(int(rnd.expovariate(0.12)), edges - 1), min(int(rnd.expovariate(0.2)), vertices - 1)) for _ in range(arcs)]
+    e, v = (spark.range(n).select("id") for n in (edges, vertices))
+    return data, Hypergraph.from_incidence(spark.createDataFrame(data, "edge long, vertex long"), "edge", "vertex", e, v, **more)
+
+
+def test_dense_blocks_are_cut(spark, monkeypatch):
+    """Rows that are many, not long, fill several segments; every form of decoding puts them together again."""
+    from arcspool.operators import encode as E
+
+    data, g = random_graph(spark)
+    want = [(r, n) for r, n in sorted(data)]
+    for segment in (1 << 16, 8):  # with and without hubs of several parts
+        monkeypatch.setattr(E, "BLOCK_ARCS", 64)
+        monkeypatch.setattr(E, "SEGMENT", segment)
+        e = encode(g.side(), 30.0, block_size=16)
+        sizes = [sum(r.degrees) for r in e.blocks.collect()]
+        assert max(sizes) <= 64 and len(sizes) > 900 / 64 and sum(sizes) == 900
+        assert rows(e.decode(), "row_id", "nbr") == want
+        back = lists(e.decode())
+        assert {r: sorted(n) for r, n in back.items()} == {r: sorted(n for q, n in data if q == r) for r, _ in data}
+        pos = {}
+        for r in e.decode().collect():
+            pos.setdefault(r.row_id, []).append(r.pos)
+        assert all(sorted(p) == list(range(len(p))) for p in pos.values())
+        assert rows(e.decode(rows=[0, 3, 17]), "row_id", "nbr") == [x for x in want if x[0] in (0, 3, 17)]
+        assert rows(e.entries(), "row_id", "degree") == [(i, sum(r == i for r, _ in data)) for i in range(60)]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 17])
+def test_canonical_codes_by_number(spark, hot):
+    data, g = random_graph(spark)
+    side = g.side()
+    for pct in (10.0, 60.0, 100.0):
+        e = encode(side, pct, block_size=16, book=codebook.build(side, pct, driver_symbols=0, hot=hot))
+        assert rows(e.decode(), "row_id", "nbr") == sorted(data)
+        assert rows(e.decode(rows=[1, 2, 59]), "row_id", "nbr") == sorted(x for x in data if x[0] in (1, 2, 59))
+        table = e.book.table.orderBy("no").collect()
+        assert [r.no for r in table] == list(range(len(table))) and [(r.len, r.code) for r in table] == sorted((r.len, r.code) for r in table)
+
+
+def test_canonical_decoder_over_many_pieces(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(1)
+    spans = [(1, 0, 1), (3, 4, 2), (5, 24, 8)]
+    codes = [format(first + i, f"0{n}b") for n, first, count in spans for i in range(count)]
+    want = [rnd.randrange(len(codes)) for _ in range(2000)]
+    stream = np.array([int(b) for k in want for b in codes[k]], np.uint8)
+    for size in (7, 64, 1 << 20):
+        monkeypatch.setattr(bits.CanonicalDecoder, "AT_ONCE", size)
+        assert bits.CanonicalDecoder(spans).read(stream, 2000).tolist() == want
+    packed = np.packbits(stream, bitorder="little").tobytes()
+    assert bits.window(packed, 13, 50).tolist() == stream[13:63].tolist() and not len(bits.window(packed, 9, 0))
+
+
+def test_only_the_frontier_is_decoded(spark):
+    """Blocks without a row that is asked for may hold anything; and of other rows in a block no bit is read."""
+    data = [(0, 1), (1, 20), (20, 21), (21, 20), (40, 41), (41, 59), (59, 40)]
+    e = Hypergraph.from_incidence(spark.createDataFrame(data, "edge long, vertex long"), "edge", "vertex", spark.range(60).select("id"), spark.range(60).select("id")).encode(10.0, block_size=8)
+    want = rows(bfs(e, [0]), "id", "dist")
+    assert [d for i, d in want if i in (0, 1, 20, 21, 40)] == [0, 1, 2, 3, None]
+    spoilt = F.col("block_id") >= 5
+    e.blocks = e.blocks.withColumns({c: F.when(spoilt, F.lit(None)).otherwise(F.col(c)) for c in ("hi", "lo", "degrees")})
+    assert rows(bfs(e, [0]), "id", "dist") == want
+    assert rows(e.of(spark.createDataFrame([(1, "a"), (1, "b"), (20, "c")], "x long, y string"), "x"), "y", "nbr") == [("a", 20), ("b", 20), ("c", 21)]
+    with pytest.raises(Exception):  # noqa: B017  whatever the decoder says
+        bfs(e, [40]).collect()
+
+
+@pytest.mark.parametrize("driver_symbols", [0, 1 << 17])
+def test_encoded_form_is_read_by_itself(spark, tmp_path, driver_symbols):
+    from arcspool.operators.encode import Encoded
+
+    data, g = random_graph(spark)
+    side = g.side()
+    book = codebook.build(side, 30.0, driver_symbols=driver_symbols, hot=4)
+    encode(side, 30.0, 16, book).write(f"file://{tmp_path}/e")
+    e = Encoded.read(spark, f"file://{tmp_path}/e")
+    assert rows(e.decode(), "row_id", "nbr") == sorted(data)
+    assert rows(bfs(e, [0]), "id", "dist") == rows(bfs(g, [0]), "id", "dist")
+    assert rows(k_core(e, 3), "id", "in_core") == rows(k_core(g, 3), "id", "in_core")
+    assert [(i, round(p, 12)) for i, p in rows(pagerank(e, 4), "id", "pr")] == [(i, round(p, 12)) for i, p in rows(pagerank(g, 4), "id", "pr")]
+
+
+def test_text_format_of_hubs(spark, tmp_path, monkeypatch):
+    """Rows over several cells and lines keep their neighbours and places."""
+    from arcspool.sources import text_format as X
+
+    monkeypatch.setattr(X, "CELL", 16)
+    monkeypatch.setattr(X, "LINE", 5)
+    data, g = random_graph(spark)
+    write_adjacency_hypergraph(g, f"file://{tmp_path}/out")
+    again = read_adjacency_hypergraph(spark, f"file://{tmp_path}/out")
+    assert lists(again.side().arcs) == lists(g.side().arcs)
+    assert rows(again.side().nodes, "id", "degree") == rows(g.side().nodes, "id", "degree")
+
+
+def test_null_ends_are_ignored(spark):
+    df = spark.createDataFrame([(0, 1), (None, 1), (2, None), (2, 0), (None, None)], "edge long, vertex long")
+    g = Hypergraph.from_incidence(df, "edge", "vertex")
+    for positions in (True, False):
+        s = Hypergraph.from_incidence(df, "edge", "vertex").side(positions=positions)
+        assert rows(s.arcs, "row_id", "nbr") == [(0, 1), (2, 0)] and rows(s.nodes, "id", "degree") == [(0, 1), (1, 0), (2, 1)]
+    assert rows(g.encode(50.0).decode(), "row_id", "nbr") == [(0, 1), (2, 0)]
+
+
+def test_batches_of_levels_and_rounds(spark):
+    from arcspool.operators.kcore import _Peel
+
+    _, g = random_graph(spark, arcs=150)
+    want = rows(bfs(g, [0, 5], batch=1), "src", "id", "dist")
+    assert rows(bfs(g, [5, 0], batch=3), "src", "id", "dist") == want
+    for k in (2, 4):
+        assert rows(_Peel(g, batch=1).to(k), "id", "in_core") == rows(_Peel(g, batch=3).to(k), "id", "in_core")
