@@ -105,49 +105,50 @@ def decode_order(pct: float) -> str:
 from enc join ranked on ranked.id = nbr, par"""
 
 
-def _reach(sources, depth: int) -> str:
-    start = " union all ".join(f"select {s}::bigint as src, {s}::bigint as id, 0 as dist" for s in sources)
-    return f"""hops as materialized (select distinct row_id, nbr from enc, dims where nbr between 0 and n - 1),
-walk(src, id, dist) as ({start} union select w.src, h.nbr, w.dist + 1 from walk w join hops h on h.row_id = w.id where w.dist < {depth}),
+def _reach(sources, step: str) -> str:
+    """``found`` (src, id, dist): all that ``step`` (row_id, nbr) reaches, round by round for as long as a round adds something."""
+    start = " union all ".join(f"select 0 as t, {s}::bigint as src, {s}::bigint as id, 0 as dist" for s in sources)
+    return f"""hops as materialized ({step}),
+walk(t, src, id, dist) as ({start} union all
+  select t + 1, src, id, dist from (select any_value(t) as t, src, id, min(dist) as dist, count(*) over () as c
+    from (select t, src, id, dist from walk union all select w.t, w.src, h.nbr, w.dist + 1 from walk w join hops h on h.row_id = w.id) group by src, id)
+  where c > (select count(*) from walk)),
 found as materialized (select src, id, min(dist) as dist from walk group by src, id)"""
 
 
-def bfs(name: str, sources, keep_src: bool = False, depth: int = 25) -> str:
+_HOPS = "select distinct row_id, nbr from enc, dims where nbr between 0 and n - 1"
+
+
+def bfs(name: str, sources, keep_src: bool = False) -> str:
     grid = " union all ".join(f"select {s}::bigint as src" for s in sources)
     pick = "g.src, " if keep_src else ""
-    return graph(name, _reach(sources, depth), recursive=True) + f"select {pick}nodes.id, f.dist::int as dist from nodes cross join ({grid}) g left join found f on f.src = g.src and f.id = nodes.id"
+    return graph(name, _reach(sources, _HOPS), recursive=True) + f"select {pick}nodes.id, f.dist::int as dist from nodes cross join ({grid}) g left join found f on f.src = g.src and f.id = nodes.id"
 
 
-def bfs_levels(name: str, src: int, depth: int = 25) -> str:
-    return graph(name, _reach([src], depth), recursive=True) + "select dist::int as dist, count(*)::bigint as n_nodes from found group by dist"
+def bfs_levels(name: str, src: int) -> str:
+    return graph(name, _reach([src], _HOPS), recursive=True) + "select dist::int as dist, count(*)::bigint as n_nodes from found group by dist"
 
 
-def _peeled(k: int, rounds: int = 16) -> str:
-    parts = [f"r0 as materialized (select id, degree >= {k} as live from nodes)"]
-    for i in range(1, rounds + 1):
-        parts.append(f"""r{i} as materialized (select n.id, n.degree - coalesce(t.c, 0) >= {k} as live from nodes n
-  left join (select e.nbr as id, count(*) as c from enc e join r{i - 1} r on r.id = e.row_id where not r.live group by 1) t on t.id = n.id)""")
-    return ",\n".join(parts)
+def _peeled(k: int) -> str:
+    """``core{k}`` (id, live): rounds for as long as one removes a node."""
+    return f"""peel{k}(t, id, degree, live) as (select 0, id, degree, degree >= {k} from nodes union all
+  select t + 1, id, degree, new from (select p.t, p.id, p.degree, p.degree - coalesce(x.c, 0) >= {k} as new, bool_or(p.live and p.degree - coalesce(x.c, 0) < {k}) over () as moved
+    from peel{k} p left join (select e.nbr as id, count(*) as c from enc e join peel{k} q on q.id = e.row_id where not q.live group by 1) x on x.id = p.id) where moved),
+core{k} as materialized (select id, live from peel{k} where t = (select max(t) from peel{k}))"""
 
 
 def kcore(name: str, k: int) -> str:
-    return graph(name, _peeled(k)) + "select id, live as in_core from r16"
+    return graph(name, _peeled(k), recursive=True) + f"select id, live as in_core from core{k}"
 
 
 def kcore_size(name: str, k: int) -> str:
-    return graph(name, _peeled(k)) + "select count(*) filter (live)::bigint as remain from r16"
+    return graph(name, _peeled(k), recursive=True) + f"select count(*) filter (live)::bigint as remain from core{k}"
 
 
 def core_number(name: str, k_max: int) -> str:
-    rounds, parts = 16, []
-    for k in range(1, k_max + 1):
-        parts.append(f"c{k}_0 as materialized (select id, degree >= {k} as live from nodes)")
-        for i in range(1, rounds + 1):
-            parts.append(f"""c{k}_{i} as materialized (select n.id, n.degree - coalesce(t.c, 0) >= {k} as live from nodes n
-  left join (select e.nbr as id, count(*) as c from enc e join c{k}_{i - 1} p on p.id = e.row_id where not p.live group by 1) t on t.id = n.id)""")
-    joins = " ".join(f"join c{k}_{rounds} using (id)" for k in range(2, k_max + 1))
-    total = " + ".join(f"c{k}_{rounds}.live::int" for k in range(1, k_max + 1))
-    return graph(name, ",\n".join(parts)) + f"select id, ({total})::int as core from c1_{rounds} {joins}"
+    joins = " ".join(f"join core{k} using (id)" for k in range(2, k_max + 1))
+    total = " + ".join(f"core{k}.live::int" for k in range(1, k_max + 1))
+    return graph(name, ",\n".join(_peeled(k) for k in range(1, k_max + 1)), recursive=True) + f"select id, ({total})::int as core from core1 {joins}"
 
 
 def pagerank(name: str, iters: int, alpha: float = 0.85) -> str:
@@ -163,18 +164,54 @@ def pagerank_dangling(name: str) -> str:
     return graph(name) + "select round(count(*) filter (degree = 0) * (1.0::double / any_value(n)), 10) as dangling from nodes, dims"
 
 
-def pct_sweep(name: str, pcts) -> str:
+def _sweep(pcts) -> str:
+    """``sizes`` (pct, k, fallback_bits, bits_hi, bits_lo); Huffman costs by popping the two lightest of a sorted list, for all pcts at once."""
     every = " union all ".join(f"select {p!r}::double as pct" for p in pcts)
-    return graph(name, f"""pcts as ({every}), ranked as materialized (select row_number() over (order by freq desc, id) as rk, id, freq from syms),
-ks as (select pct, least(ns, greatest(0, trunc(ns * (pct * 0.01::double) + 0.5::double)))::bigint as k from pcts, dims),
-rest as (select pct, k, coalesce(max(id) filter (rk > k), 0) as m, coalesce(sum(freq) filter (rk > k), 0) as low from ks, ranked group by pct, k)""") + """select pct, k,
-  (case when m = 0 then 1 else length(bin(m)) end)::int as fallback_bits, (low * (case when m = 0 then 1 else length(bin(m)) end))::bigint as bits_lo from rest"""
+    return f"""pcts as ({every}), ranked as materialized (select row_number() over (order by freq desc, id) as rk, id, freq from syms),
+ks as materialized (select pct, least(ns, greatest(0, trunc(ns * (pct * 0.01::double) + 0.5::double)))::bigint as k from pcts, dims),
+rest as materialized (select pct, k, coalesce(max(id) filter (rk > k), 0) as m, coalesce(sum(freq) filter (rk > k), 0) as low, coalesce(sum(freq) filter (rk <= k), 0) as high from ks, ranked group by pct, k),
+heap(k, l, cost) as (select ks.k, list_sort(list(freq)), 0::hugeint from (select distinct k from ks) ks, ranked where rk <= ks.k group by ks.k having count(*) > 1
+  union all select k, list_sort(list_append(l[3:], l[1] + l[2])), cost + (l[1] + l[2]) from heap where len(l) > 1),
+cost as materialized (select k, max(cost)::bigint as cost from heap group by k),
+sizes as materialized (select pct, rest.k, (case when m = 0 then 1 else length(bin(m)) end)::int as fallback_bits,
+    (case when rest.k = 0 then 0 when rest.k = 1 then high else cost.cost end)::bigint as bits_hi,
+    (low * (case when m = 0 then 1 else length(bin(m)) end))::bigint as bits_lo from rest left join cost on cost.k = rest.k)"""
+
+
+def pct_sweep(name: str, pcts) -> str:
+    return graph(name, _sweep(pcts), recursive=True) + "select pct, k, fallback_bits, bits_hi, bits_lo from sizes"
+
+
+def best_allocation(name: str, pcts) -> str:
+    return graph(name, _sweep(pcts), recursive=True) + """select pct, k, fallback_bits, bits_hi, bits_lo, total_bytes from (select *,
+  ((bits_hi + 7) // 8 + (bits_lo + 7) // 8 + case when k > 0 then (2 * k - 1) * 24 else 0 end)::bigint as total_bytes from sizes) order by total_bytes, pct limit 1"""
+
+
+def entry_totals(name: str, pct: float) -> str:
+    return graph(name, _cost(pct) + ",\n" + _SPLIT, recursive=True) + """select (select count(*) from nodes)::bigint as n_rows, (select sum(degree) from nodes)::bigint as degree,
+  (select sum(huff_count) from split)::bigint as huff_count, bits_hi as bit_count from cost"""
+
+
+def block_bytes(name: str, pct: float, block: int = 1024) -> str:
+    return graph(name, ranked(pct) + ",\n" + _SPLIT) + f"""select block_id, bits_lo, (bits_lo + 7) // 8 as lo_bytes, n_rows, n_arcs
+from (select id // {block} as block_id, sum(low_count * fallback_bits)::bigint as bits_lo, count(*)::bigint as n_rows, sum(degree)::bigint as n_arcs from (nodes join split on row_id = id), fb group by 1)"""
+
+
+_TWO = "select distinct a.vertex as row_id, b.vertex as nbr from arcs a join arcs b using (edge)"
+
+
+def bipartite_bfs(name: str, src: int) -> str:
+    return graph(name, _reach([src], _TWO), recursive=True) + "select v.id, f.dist::int as dist from vertices v left join found f on f.id = v.id"
 
 
-def bipartite_bfs(name: str, src: int, depth: int = 25) -> str:
-    return graph(name, f"""two as materialized (select distinct a.vertex as x, b.vertex as y from arcs a join arcs b using (edge)),
-walk(id, dist) as (select {src}::bigint, 0 union select y, dist + 1 from walk join two on x = id where dist < {depth})""", recursive=True) + """select v.id, w.dist::int as dist
-from vertices v left join (select id, min(dist) as dist from walk group by id) w using (id)"""
+def bipartite_components(name: str) -> str:
+    """Smallest labels passed on round by round for as long as one changes."""
+    return graph(name, f"""two as materialized ({_TWO}),
+label(t, id, low) as (select 0, id, id from vertices union all
+  select t + 1, id, new from (select l.t, l.id, least(l.low, coalesce(m.low, l.low)) as new, bool_or(coalesce(m.low, l.low) < l.low) over () as moved
+    from label l left join (select two.nbr as id, min(k.low) as low from label k join two on two.row_id = k.id group by 1) m on m.id = l.id) where moved),
+last as materialized (select id, low from label where t = (select max(t) from label))""", recursive=True) + """select 'vertex' as kind, id::bigint as id, low::bigint as component from last
+union all select 'hyperedge', e.id::bigint, min(l.low)::bigint from edges e left join arcs a on a.edge = e.id left join last l on l.id = a.vertex group by e.id"""
 
 
 def bipartite_pagerank(name: str, iters: int, alpha: float = 0.85) -> str:
@@ -187,9 +224,11 @@ p{i} as materialized (select p.id, p.degree, (1 - {alpha}::double) / nv + {alpha
     return graph(name, ",\n".join(parts)) + f"select id, round(pr, 10) as pr from p{iters}"
 
 
-def bipartite_kcore(name: str, k: int, rounds: int = 12) -> str:
-    parts = ["b0 as materialized (select distinct edge, vertex from arcs)"]
-    for i in range(1, rounds + 1):
-        parts.append(f"""e{i} as materialized (select * from b{i - 1} where edge in (select edge from b{i - 1} group by edge having count(*) >= 2)),
-b{i} as materialized (select * from e{i} where vertex in (select vertex from e{i} group by vertex having count(*) >= {k}))""")
-    return graph(name, ",\n".join(parts)) + f"select id, id in (select vertex from b{rounds}) as in_core from vertices"
+def bipartite_kcore(name: str, k: int) -> str:
+    return graph(name, f"""peel(t, edge, vertex) as (select 0, edge, vertex from (select distinct edge, vertex from arcs) union all
+  select t + 1, edge, vertex from (select p.t, p.edge, p.vertex, count(*) over () as c from peel p where p.edge in (select edge from peel group by edge having count(*) >= 2)
+      and p.vertex in (select vertex from peel where edge in (select edge from peel group by edge having count(*) >= 2) group by vertex having count(*) >= {k}))
+  where c < (select count(*) from peel)),
+gone as materialized (select coalesce(max(t), 0) as t, (select count(*) from peel p where p.edge in (select edge from peel q where q.t = (select max(t) from peel) group by edge having count(*) >= 2)
+    and p.t = (select max(t) from peel) and p.vertex in (select vertex from peel q where q.t = (select max(t) from peel) group by vertex having count(*) >= {k})) as n from peel),
+kept as materialized (select distinct vertex from peel, gone where peel.t = gone.t and gone.n > 0)""", recursive=True) + "select id, id in (select vertex from kept) as in_core from vertices"

@@ -97,6 +97,18 @@ def entry_meta(s, d):
     return g1(s, d).encode(PCT).entries().select("row_id", "degree", "huff_count")
 
 
+@register("entry_totals", oracles.entry_totals("G1", PCT))
+def entry_totals(s, d):
+    return g1(s, d).encode(PCT).entries().agg(F.count("*").alias("n_rows"), *[F.sum(c).alias(c) for c in ("degree", "huff_count", "bit_count")])
+
+
+@register("block_bytes", oracles.block_bytes("G1", PCT))
+def block_bytes(s, d):
+    """Of every block the part of its bytes that doesn't depend on how equal frequencies share code lengths."""
+    e = g1(s, d).encode(PCT).blocks
+    return e.select("block_id", "bits_lo", F.octet_length("lo").cast("long").alias("lo_bytes"), F.size("row_ids").cast("long").alias("n_rows"), F.aggregate("degrees", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_arcs"))
+
+
 @register("entry_bits")
 def entry_bits(s, d):
     return g1(s, d).encode(PCT).entries()
@@ -134,7 +146,7 @@ def codec_roundtrip_canonical(s, d):
     from arcspool.operators.encode import encode
 
     side = g1(s, d).side()
-    return encode(side, PCT, book=codebook.build(side, PCT, driver_symbols=0)).decode().select("row_id", "nbr")
+    return encode(side, PCT, book=codebook.build(side, PCT, driver_symbols=0, hot=100)).decode().select("row_id", "nbr")
 
 
 @register("codec_roundtrip_vertex_side", oracles.ARCS_BACK)
@@ -170,15 +182,14 @@ def codec_sum_check(s, d):
 
 @register("codec_parquet_roundtrip", oracles.ARCS)
 def codec_parquet_roundtrip(s, d):
-    """The encoded form written as Parquet, read again, and decoded."""
+    """The encoded form written as Parquet, read again by itself, and decoded."""
     import uuid
 
     from arcspool.operators.encode import Encoded
 
-    e = g1(s, d).encode(PCT)
     path = f"{shared_dir(s)}/encoded/{uuid.uuid4().hex}"
-    e.write(path)
-    return Encoded(s.read.parquet(f"{path}/blocks"), e.book, e.side, e.block_size).decode().select("row_id", "nbr")
+    g1(s, d).encode(PCT).write(path)
+    return Encoded.read(s, path).decode().select("row_id", "nbr")
 
 
 @register("text_roundtrip", oracles.ARCS)
@@ -211,7 +222,7 @@ def bfs_encoded_src0(s, d):
     return bfs(g1(s, d).encode(PCT), [0]).select("id", "dist")
 
 
-@register("doc_token_bfs_src0", oracles.bfs("G2", [0], depth=40))
+@register("doc_token_bfs_src0", oracles.bfs("G2", [0]))
 def doc_token_bfs_src0(s, d):
     return bfs(g2(s, d), [0]).select("id", "dist")
 
@@ -274,7 +285,7 @@ def pagerank_dangling(s, d):
 # sizes over pct
 @register("pct_sweep", oracles.pct_sweep("G1", SWEEP))
 def pct_sweep(s, d):
-    return codebook.sweep(g1(s, d).side(positions=False), SWEEP).select("pct", "k", "fallback_bits", "bits_lo")
+    return codebook.sweep(g1(s, d).side(positions=False), SWEEP)
 
 
 @register("pct_sweep_bits_hi", oracles.huffman_cost("G1", 5.0))
@@ -287,13 +298,18 @@ def best_allocation(s, d):
     return codebook.best_allocation(g2(s, d).side("hyperedge", positions=False), SWEEP)
 
 
+@register("best_allocation_orders", oracles.best_allocation("G1", SWEEP))
+def best_allocation_orders(s, d):
+    return codebook.best_allocation(g1(s, d).side(positions=False), SWEEP)
+
+
 # the bipartite graph
 @register("bipartite_bfs", oracles.bipartite_bfs("G1", 0))
 def bipartite_bfs(s, d):
     return bipartite.bipartite_bfs(g1(s, d), 0)
 
 
-@register("bipartite_components")
+@register("bipartite_components", oracles.bipartite_components("G1"))
 def bipartite_components(s, d):
     return bipartite.components(g1(s, d))
 
