@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arcspool.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from arcspool.llm.exprs import free_name
 from arcspool.llm.queries import tokenizer_path
-from arcspool.plans.stash import stash
+from arcspool.plans.stash import drop, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stash(docs, name.split()[0])
+            if before is not None:  # nothing reads it any more
+                drop(before)
+            before = docs
     return docs
