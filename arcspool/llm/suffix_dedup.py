@@ -19,9 +19,11 @@ are verified byte by byte, and a group in which a hash deceived is grouped by it
 bytes. Of equal strings the first in the order of documents and starts stays.
 
 Skew. An anchor of more than ``HOT`` occurrences is sent as single strings under
-the hash of the whole string: inner parts of a passage that a third of the
-documents share become one row a batch, and the strings across its edges, which
-all differ, spread over all tasks.
+the hash of the whole string: the strings across a passage's edges, which all
+differ, spread over all tasks, and an inner string becomes one row a task, as a
+task remembers the strings it has sent (up to ``HELD``, then afresh) and knows
+each later one in precedence for a repeat. Such a key's rows are decided as a
+stream by comparing bytes, so a key is never held whole.
 
 Defined results: null text counts as empty; documents without an id come last;
 rows with the same id and different texts are ordered by a hash of the text, and
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,7 @@ GRAM = 32
 HOT = 4096
 BLOCK = 1 << 19
 ROWS = 12_000
+HELD = 1 << 16
 MAX_LOG_BITS = 30
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -256,6 +260,8 @@ def _segments(src: DataFrame, twice: Sieve, hot: Sieve) -> DataFrame:
     def run(batches):
         v = held.value
         often, very = Sieve(v[0], v[1]), Sieve(v[2], v[3])
+        task, rows_out = TaskContext.get().partitionId(), 0
+        sent: dict = {}  # the first in precedence of the single strings that this task has sent
         for batch in batches:
             ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = _raw(batch.column(2))
@@ -268,6 +274,7 @@ def _segments(src: DataFrame, twice: Sieve, hot: Sieve) -> DataFrame:
                 first, count, at, h = first[pick], count[pick], at[pick], h[pick]
                 doc = np.searchsorted(ends, first, "right")
                 wide = very.test(h.view(np.int64))
+                alone = np.zeros(len(first), bool)
                 if wide.any():  # single strings under their own hash
                     reps = np.repeat(np.flatnonzero(wide), count[wide])
                     s = np.concatenate([np.arange(a, a + c) for a, c in zip(first[wide].tolist(), count[wide].tolist(), strict=True)])
@@ -276,28 +283,42 @@ def _segments(src: DataFrame, twice: Sieve, hot: Sieve) -> DataFrame:
                     one = np.ones(len(s), np.int64)
                     first, count, at, h, doc = (np.r_[a[~wide], b] for a, b in ((first, s), (count, one), (at, s), (h, hs), (doc, doc[reps])))
                     back = np.argsort(first, kind="stable")
-                    first, count, at, h, doc = (a[back] for a in (first, count, at, h, doc))
+                    alone = np.r_[np.zeros(len(first) - len(s), bool), one > 0]
+                    first, count, at, h, doc, alone = (a[back] for a in (first, count, at, h, doc, alone))
                 raw = data.tobytes()
-                for f, c, a, k, d in zip(first.tolist(), count.tolist(), (at - first).tolist(), h.view(np.int64).tolist(), doc.tolist(), strict=True):
+                for f, c, a, k, d, single in zip(first.tolist(), count.tolist(), (at - first).tolist(), h.view(np.int64).tolist(), doc.tolist(), alone.tolist(), strict=True):
                     s = raw[f : f + c + LENGTH - 1]
                     i, p = order[rows[d]], f + shifts[d]
-                    was = seen.setdefault((a, s), (i, p))
-                    if was == (i, p):
+                    if single:
+                        here = (ids[i] is None, ids[i] if ids[i] is not None else 0, ths[i], p)
+                        was = sent.get(s)
+                        if was == here:
+                            continue  # the same row again
+                        new = was is None or here < was
+                        if new:
+                            if len(sent) >= HELD:
+                                sent.clear()
+                            sent[s] = here
+                    else:
+                        was = seen.setdefault((a, s), (i, p))
+                        new = was == (i, p)
+                        if not new and was[1] == p and ths[was[0]] == ths[i] and ids[was[0]] == ids[i]:
+                            continue
+                    if new:
                         key.append(k)
                         seg.append(s)
-                    elif was[1] == p and ths[was[0]] == ths[i] and ids[was[0]] == ids[i]:
-                        continue  # the same row again
                     else:
                         c += LENGTH - 1
                         if seg and seg[-1] is None and row[-1] == i and pos[-1] + num[-1] >= p:
                             num[-1] = max(num[-1], p + c - pos[-1])
                             continue
-                        key.append(ths[i])
+                        key.append(_spread(ths[i], task, rows_out + len(key)))  # needn't meet anything
                         seg.append(None)
                     row.append(i)
                     pos.append(p)
                     num.append(c)
-                    off.append(a)
+                    off.append(-1 - a if single else a)
+            rows_out += len(key)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(num, pa.int32()), pa.array(off, pa.int32()), pa.array(seg, pa.binary())],
@@ -306,15 +327,22 @@ def _segments(src: DataFrame, twice: Sieve, hot: Sieve) -> DataFrame:
     return src.mapInArrow(run, f"key long, id {kind}, th long, pos long, n int, off int, seg binary")
 
 
+def _spread(th: int, task: int, n: int) -> int:
+    """A key for row ``n`` of a task, so that the ranges of a text's copies don't share one."""
+    x = ((th ^ (task << 32) ^ n) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+    return x - 2**64 if x >> 63 else x
+
+
 def _judge(batches):
     """Rows sorted by key and precedence to ranges (id, th, s, e) of repeated bytes."""
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
+    def solve(t: pa.Table, known: tuple) -> tuple[pa.RecordBatch, tuple]:
+        """``known``: the key that the rows before ended in, and its strings; the same is returned for the last key here."""
         keys = t.column("key").to_numpy()
         pos, num, off = (t.column(c).to_pylist() for c in ("pos", "n", "off"))
         ids, ths, segs = (t.column(c).to_pylist() for c in ("id", "th", "seg"))
-        row, s, e, lone, group, last, g = [], [], [], [], [], None, -1
-        seen: dict = {}
+        row, s, e, lone, group, g = [], [], [], [], [], 0
+        last, seen = known
         for i, k in enumerate(keys.tolist()):
             if segs[i] is None:
                 row.append(i)
@@ -323,11 +351,12 @@ def _judge(batches):
                 continue
             if k != last:
                 seen, last, g = {}, k, g + 1
-            j = seen.setdefault((off[i], segs[i]), i)
-            if j == i:
+            here = (pos[i], ths[i], ids[i])
+            was = seen.setdefault((off[i], segs[i]), here)
+            if was is here:
                 lone.append(i)
                 group.append(g)
-            elif not (pos[j] == pos[i] and ths[j] == ths[i] and ids[j] == ids[i]):
+            elif was != here:
                 row.append(i)
                 s.append(pos[i])
                 e.append(pos[i] + num[i] + LENGTH - 1)
@@ -335,29 +364,34 @@ def _judge(batches):
         many = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
         if len(many):
             pick = [lone[k] for k in many.tolist()]
-            found = repeats([segs[i] for i in pick], np.array([num[i] for i in pick]), np.array([off[i] for i in pick]), group[many])
+            found = repeats([segs[i] for i in pick], np.array([num[i] for i in pick]), np.array([off[i] if off[i] >= 0 else -1 - off[i] for i in pick]), group[many])
             for i, mask in zip(pick, found, strict=True):
                 for a, b in _runs(mask):
                     row.append(i)
                     s.append(pos[i] + a)
                     e.append(pos[i] + b + LENGTH - 1)
         at = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("th").combine_chunks().take(at), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "th", "s", "e"])
+        return pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("th").combine_chunks().take(at), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "th", "s", "e"]), (last, seen)
 
-    held, size = [], 0
+    held, size, known = [], 0, (None, {})
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         size += batch.num_rows
-        last = batch.column(0)[-1].as_py()
-        if size >= ROWS and last != held[0].column(0)[0].as_py():
-            t = pa.Table.from_batches(held).combine_chunks()
-            cut = int(np.searchsorted(t.column("key").to_numpy(), last))
-            yield solve(t.slice(0, cut))
-            held, size = t.slice(cut).to_batches(), t.num_rows - cut
+        if size < ROWS:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = t.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if not cut and max((o for o, x in zip(t.column("off").to_pylist(), t.column("seg").is_valid().to_pylist(), strict=True) if x), default=-1) < 0:
+            cut = size  # single strings of one key: what was seen of them is all that the rows to come need
+        if cut:
+            made, known = solve(t.slice(0, cut), known)
+            yield made
+            held, size = t.slice(cut).to_batches(), size - cut
     if size:
-        yield solve(pa.Table.from_batches(held).combine_chunks())
+        yield solve(pa.Table.from_batches(held).combine_chunks(), known)[0]
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -372,7 +406,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(shuffle_partitions(spark), rows // 200_000)
     found = _segments(src, sieve, very).repartition(parts, "key").sortWithinPartitions("key", F.col("id").isNull(), "id", "th", "pos")
     ranges = found.mapInArrow(_judge, f"id {dict(src.dtypes)['id']}, th long, s long, e long")
-    spans = ranges.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = ranges.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
     return stash(spans, "spans")
 
 

@@ -82,3 +82,47 @@ def test_edges(spark):
     n = len(t)
     assert got == [(False, 1, n, n), (False, 1, n, n), (False, 2, 1, n + 1), (False, 2, 5, n + 5), (True, 0, 0, n)]
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_passage_in_every_batch(spark):
+    """A passage that every document holds, ids against the order of rows, and copies of one text, over many batches and tasks."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage, copy = word(180), word(400)
+    docs = [(i, copy if i % 3 == 0 else word(rnd.randrange(40)) + passage + word(rnd.randrange(40))) for i in range(400)]
+    df = spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(3).sortWithinPartitions("text")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        for hot in (4096, 50):
+            assert results(S.digest(S.remove_repeats(df, hot=hot))) == brute(docs)
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_hot_key_is_judged_as_a_stream(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "ROWS", 10)
+    a, b = b"x" * 100, b"y" * 100
+    rows = [(7, i // 2, 5, 0, 1, -1, a if i % 10 else b) for i in range(60)]  # every row twice
+    rows += [(8, 1, 5, 3, 1, 0, a), (8, 2, 5, 9, 1, 0, a)]
+    names = ["key", "id", "th", "pos", "n", "off", "seg"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 4], strict=True), kinds, strict=True)], names=names) for i in range(0, len(rows), 4)]
+    made = list(S._judge(batches))
+    got = {(r["id"], r["s"], r["e"]) for m in made for r in m.to_pylist()}
+    want, seen = set(), {}
+    for k, i, _, p, _, _, x in rows:
+        if seen.setdefault((k, x), i) != i:
+            want.add((i, p, p + 100))
+    assert got == want and len(made) > 4
+
+
+def test_text_longer_than_a_block(spark):
+    rnd = random.Random(4)
+    once = "".join(rnd.choice("abcdefghij ") for _ in range(S.BLOCK))
+    docs = [(1, once + once[:5000]), (2, "short " + once[S.BLOCK - 300 :])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert results(S.digest(S.remove_repeats(df))) == brute(docs)
