@@ -20,9 +20,9 @@ bytes. Of equal strings the first in the order of documents and starts stays.
 
 Skew. An anchor of more than ``HOT`` occurrences is sent as single strings under
 the hash of the whole string: the strings across a passage's edges, which all
-differ, spread over all tasks, and an inner string becomes one row a task, as a
-task remembers the strings it has sent (up to ``HELD``, then afresh) and knows
-each later one in precedence for a repeat. Such a key's rows are decided as a
+differ, spread over all tasks, and an inner string becomes about one row a task,
+as a task remembers the strings that a batch held twice (up to ``HELD``, then
+afresh) and knows each later one in precedence for a repeat. Such a key's rows are decided as a
 stream by comparing bytes, so a key is never held whole.
 
 Defined results: null text counts as empty; documents without an id come last;
@@ -261,12 +261,22 @@ def _segments(src: DataFrame, twice: Sieve, hot: Sieve) -> DataFrame:
         v = held.value
         often, very = Sieve(v[0], v[1]), Sieve(v[2], v[3])
         task, rows_out = TaskContext.get().partitionId(), 0
-        sent: dict = {}  # the first in precedence of the single strings that this task has sent
+        known: dict = {}  # single strings that came twice, with the first in precedence of those sent
+
+        def note(s: bytes, place: tuple) -> None:
+            if len(known) >= HELD and s not in known:
+                known.clear()
+            known[s] = place
+
         for batch in batches:
             ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = _raw(batch.column(2))
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, ths[i]))
             seen: dict = {}
+
+            def place(i: int, p: int, ids=ids, ths=ths) -> tuple:
+                return ids[i] is None, ids[i] if ids[i] is not None else 0, ths[i], p
+
             key, row, pos, num, off, seg = [], [], [], [], [], []
             for data, ends, rows, shifts in _blocks([texts[i] for i in order]):
                 first, count, at, h, prefix = anchors(data, ends)
@@ -289,21 +299,19 @@ def _segments(src: DataFrame, twice: Sieve, hot: Sieve) -> DataFrame:
                 for f, c, a, k, d, single in zip(first.tolist(), count.tolist(), (at - first).tolist(), h.view(np.int64).tolist(), doc.tolist(), alone.tolist(), strict=True):
                     s = raw[f : f + c + LENGTH - 1]
                     i, p = order[rows[d]], f + shifts[d]
-                    if single:
-                        here = (ids[i] is None, ids[i] if ids[i] is not None else 0, ths[i], p)
-                        was = sent.get(s)
-                        if was == here:
-                            continue  # the same row again
-                        new = was is None or here < was
-                        if new:
-                            if len(sent) >= HELD:
-                                sent.clear()
-                            sent[s] = here
-                    else:
-                        was = seen.setdefault((a, s), (i, p))
-                        new = was == (i, p)
-                        if not new and was[1] == p and ths[was[0]] == ths[i] and ids[was[0]] == ids[i]:
+                    was = seen.setdefault((a, s), (i, p))
+                    new = was == (i, p)
+                    if not new and was[1] == p and ths[was[0]] == ths[i] and ids[was[0]] == ids[i]:
+                        continue  # the same row again
+                    if single and new and s in known:
+                        here = place(i, p)
+                        if here == known[s]:
                             continue
+                        new = here < known[s]
+                        if new:
+                            note(s, here)
+                    elif single and not new and s not in known:
+                        note(s, place(*was))
                     if new:
                         key.append(k)
                         seg.append(s)
