@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcspool.operators.bfs import bfs
 from arcspool.operators.components import connected_components
-from arcspool.operators.iterate import write_counted
+from arcspool.operators.iterate import KeptArcs, write_counted
 from arcspool.operators.model import Hypergraph
 from arcspool.plans.stash import drop, stash
 
 
+class _Incidence:
+    """Both directions of the incidences as bucketed arcs: vertex v is node 2v, hyperedge e is node 2e + 1. Made once for a graph and dropped with it."""
+
+    def __init__(self, graph: Hypergraph):
+        v, e = F.col("vertex") * 2, F.col("edge") * 2 + 1
+        both = graph.arcs.select(F.explode(F.array(F.struct(v.alias("row_id"), e.alias("nbr")), F.struct(e.alias("row_id"), v.alias("nbr")))).alias("x")).select("x.*")
+        self.sizes = stash(both.groupBy(F.col("row_id").alias("id")).agg(F.count("*").alias("degree")), "sizes")
+        self.vertices = stash(graph.vertices.select((F.col("id") * 2).alias("id")), "nodes")
+        self.arcs = KeptArcs(both, self.sizes, 1 << 62)
+        self._kept = self.arcs, self.vertices, 1 << 62  # what ``kept_arcs`` gives to the algorithms
+
+
+def _incidence(graph: Hypergraph) -> _Incidence:
+    if getattr(graph, "_incidence", None) is None:
+        graph._incidence = _Incidence(graph)
+    return graph._incidence
+
+
 def bipartite_bfs(graph: Hypergraph, source: int) -> DataFrame:
     """(id, dist) of every vertex: hops from vertex to vertex through a shared hyperedge, null if out of reach."""
     if not 0 <= source < graph.n_vertices:
         raise ValueError(f"no vertex {source}")
-    arcs = stash(graph.arcs.select("edge", "vertex").distinct(), "arcs")
-    seen = stash(graph.vertices.where(F.col("id") == source).select("id", F.lit(0).alias("dist")), "level")
-    used, level, front = None, 0, seen
-    while True:
-        level += 1
-        edges = front.join(arcs, front["id"] == arcs["vertex"]).select("edge").distinct()
-        if used is not None:
-            edges = edges.join(used, "edge", "left_anti")
-        edges, _ = write_counted(edges, "edges", n=F.count(F.lit(1)))
-        used = edges if used is None else used.unionByName(edges)
-        fresh = edges.join(arcs, "edge").select(F.col("vertex").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("dist", F.lit(level))
-        front, count = write_counted(fresh, "level", n=F.count(F.lit(1)))
-        if not count["n"]:
-            return graph.vertices.join(seen, "id", "left").select("id", "dist")
-        seen = seen.unionByName(front)
+    half = lambda c: F.shiftright(c, 1).alias(c)  # noqa: E731  a hop is two arcs
+    return bfs(_incidence(graph), [2 * source]).select(half("id"), half("dist"))
 
 
 def components(graph: Hypergraph) -> DataFrame:
@@ -48,21 +54,26 @@ def bipartite_pagerank(graph: Hypergraph, iters: int = 20, alpha: float = 0.85)
     nv = graph.n_vertices
     if nv <= 0:
         raise ValueError("the hypergraph has no vertices")
-    arcs = stash(graph.arcs.select("edge", "vertex"), "arcs")
-    size = stash(arcs.groupBy("edge").agg(F.count("*").alias("size")), "sizes")
-    deg = arcs.groupBy(F.col("vertex").alias("id")).agg(F.count("*").alias("degree"))
+    held = _incidence(graph)
     idle = F.sum(F.when(F.col("degree") == 0, F.col("pr")).otherwise(0.0))
-    first = graph.vertices.join(deg, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / nv).alias("pr"))
+    edges = held.sizes.where("id % 2 = 1")
+
+    def push(nodes: DataFrame, value: str, to: DataFrame) -> DataFrame:
+        """(id, degree, s) of ``to``: the shares that ``nodes`` send along their arcs, in one aggregate with the receivers."""
+        out = nodes.where("degree > 0").select("id", (F.col(value) / F.col("degree")).alias("share"))
+        sent = held.arcs.of(out, "id").select(F.col("nbr").alias("id"), F.lit(None).cast("long").alias("degree"), "share")
+        both = sent.unionByName(to.select("id", "degree", F.lit(0.0).alias("share")))
+        return both.groupBy("id").agg(F.max("degree").alias("degree"), F.sum("share").alias("s")).where("degree is not null")
+
+    first = held.vertices.join(held.sizes, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / nv).alias("pr"))
     pr, seen = write_counted(first, "pr", idle=idle)
     for _ in range(iters):
-        out = pr.where("degree > 0").select(F.col("id").alias("vertex"), (F.col("pr") / F.col("degree")).alias("share"))
-        held = arcs.join(out, "vertex").groupBy("edge").agg(F.sum("share").alias("h")).join(size, "edge").select("edge", (F.col("h") / F.col("size")).alias("share"))
-        back = arcs.join(held, "edge").groupBy(F.col("vertex").alias("id")).agg(F.sum("share").alias("s"))
-        value = F.lit((1 - alpha) / nv) + F.lit(alpha) * (F.coalesce("s", F.lit(0.0)) + F.lit((seen["idle"] or 0.0) / nv))
-        nxt, seen = write_counted(pr.select("id", "degree").join(back, "id", "left").select("id", "degree", value.alias("pr")), "pr", idle=idle)
+        back = push(push(pr, "pr", edges), "s", pr)
+        value = F.lit((1 - alpha) / nv) + F.lit(alpha) * (F.col("s") + F.lit((seen["idle"] or 0.0) / nv))
+        nxt, seen = write_counted(back.select("id", "degree", value.alias("pr")), "pr", idle=idle)
         drop(pr)
         pr = nxt
-    return pr.select("id", "pr")
+    return pr.select(F.shiftright("id", 1).alias("id"), "pr")
 
 
 def bipartite_k_core(graph: Hypergraph, k: int) -> DataFrame:

@@ -217,6 +217,35 @@ def test_bipartite(t):
     assert rows(bipartite.bipartite_k_core(t, 2), "id", "in_core") == [(0, True), (1, True), (2, True), (3, False), (4, False)]
 
 
+def test_bipartite_hubs_and_repeats(spark, monkeypatch):
+    """Hubs over many parts, repeated incidences and empty domains against plain Python."""
+    import random
+
+    from arcspool.operators import bipartite as B
+    from arcspool.operators.iterate import KeptArcs
+
+    monkeypatch.setattr(B, "KeptArcs", lambda arcs, nodes, n: KeptArcs(arcs, nodes, n, segment=8))
+    rnd = random.Random(6)
+    inc = [(rnd.randrange(12), rnd.randrange(60)) for _ in range(90)] + [(11, v) for v in range(0, 30)] + [(11, 5)] * 3 + [(e, 7) for e in range(12)]
+    inc = [(e, v) for e, v in inc if v % 10 != 9]  # vertices without hyperedges
+    h = Hypergraph.from_incidence(spark.createDataFrame(inc, "e long, v long"), "e", "v", vertices=spark.range(60).toDF("id"))
+    dist, front = {3: 0}, {3}
+    while front:
+        front = {w for e, v in inc if v in front for f, w in inc if f == e} - set(dist)
+        dist |= dict.fromkeys(front, max(dist.values()) + 1)
+    assert rows(B.bipartite_bfs(h, 3), "id", "dist") == [(v, dist.get(v)) for v in range(60)]
+    pr = [1 / 60] * 60
+    deg, size = [sum(v == w for _, w in inc) for v in range(60)], [sum(e == f for f, _ in inc) for e in range(12)]
+    for _ in range(3):
+        at, idle, nxt = [0.0] * 12, sum(p for p, d in zip(pr, deg, strict=True) if not d), [0.0] * 60
+        for e, v in inc:
+            at[e] += pr[v] / deg[v] / size[e]
+        for e, v in inc:
+            nxt[v] += at[e]
+        pr = [0.15 / 60 + 0.85 * (x + idle / 60) for x in nxt]
+    assert [p for _, p in rows(B.bipartite_pagerank(h, 3), "id", "pr")] == pytest.approx(pr, abs=1e-12)
+
+
 def test_text_format_over_many_splits(spark, tmp_path):
     import random
 
