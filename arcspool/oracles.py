@@ -229,6 +229,6 @@ def bipartite_kcore(name: str, k: int) -> str:
   select t + 1, edge, vertex from (select p.t, p.edge, p.vertex, count(*) over () as c from peel p where p.edge in (select edge from peel group by edge having count(*) >= 2)
       and p.vertex in (select vertex from peel where edge in (select edge from peel group by edge having count(*) >= 2) group by vertex having count(*) >= {k}))
   where c < (select count(*) from peel)),
-gone as materialized (select coalesce(max(t), 0) as t, (select count(*) from peel p where p.edge in (select edge from peel q where q.t = (select max(t) from peel) group by edge having count(*) >= 2)
-    and p.t = (select max(t) from peel) and p.vertex in (select vertex from peel q where q.t = (select max(t) from peel) group by vertex having count(*) >= {k})) as n from peel),
-kept as materialized (select distinct vertex from peel, gone where peel.t = gone.t and gone.n > 0)""", recursive=True) + "select id, id in (select vertex from kept) as in_core from vertices"
+last as materialized (select edge, vertex from peel where t = (select max(t) from peel)),
+live as materialized (select edge from last group by edge having count(*) >= 2),
+kept as materialized (select vertex from last where edge in (select edge from live) group by vertex having count(*) >= {k})""", recursive=True) + "select id, id in (select vertex from kept) as in_core from vertices"

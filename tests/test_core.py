@@ -246,6 +246,32 @@ def test_bipartite_hubs_and_repeats(spark, monkeypatch):
     assert [p for _, p in rows(B.bipartite_pagerank(h, 3), "id", "pr")] == pytest.approx(pr, abs=1e-12)
 
 
+def test_bipartite_kcore_and_its_sql(spark):
+    """The operator and its SQL against plain Python, at cores that are whole, partial and empty."""
+    from collections import Counter
+
+    import duckdb
+
+    from arcspool import oracles, queries
+
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "part"):
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    inc = set(con.execute("select l_orderkey, l_partkey from lineitem").fetchall())
+    for k in (10, 25, 28, 35, 60):
+        a, b = None, inc
+        while a != b:
+            a = b
+            size = Counter(e for e, _ in a)
+            b = {x for x in a if size[x[0]] > 1}
+            degree = Counter(v for _, v in b)
+            b = {x for x in b if degree[x[1]] >= k}
+        want = {v for _, v in a}
+        assert {r[0] for r in con.execute(oracles.bipartite_kcore("G1", k)).fetchall() if r[1]} == want
+        if k in (25, 28):
+            assert {r.id for r in bipartite.bipartite_k_core(queries.g1(spark, "/root/testdata/sf0.001"), k).collect() if r.in_core} == want
+
+
 def test_text_format_over_many_splits(spark, tmp_path):
     import random
 
