@@ -18,14 +18,16 @@ the 4096 buckets that the MD5's first three digits make of each source and the
 buckets' counts are summed ahead, so a source with a third of all rows spreads
 over all tasks.
 
-Defined results: rows without a source form a source of their own; null ids are
-ordered first, and rows with equal ids stand next to each other in any order;
+Defined results: rows without a source form a source of their own; rows without
+an id are placed by a hash of all their columns (maps aside), so many of them
+spread like others; rows with equal ids stand next to each other in any order;
 rows of a source without parts get null slots; an empty table gives no rows; where
 parts are derived, the period is the first multiple of ``period`` that has a slot
 for each source (scheduling takes period times sources steps, on the sources
 alone). All input columns are kept, whatever their names; the result is one more
 struct, the last column, whose name gets underscores in front where the input has
-such a column. Rows of one source with one id are ranked in one task.
+such a column. Rows of one source with one id that isn't null, and rows repeated
+whole, are ranked in one task.
 """
 
 from __future__ import annotations
@@ -39,8 +41,13 @@ PERIOD = 1000
 BLOCK_DOCS = 16
 
 
-def _md5(id_col: Column) -> Column:
-    return F.md5(F.coalesce(id_col.cast("string"), F.lit("")))
+def _md5(df: DataFrame, id_col: str) -> Column:
+    """The MD5 of the id, of a hash of the whole row where the id is null; without null ids only the id is read."""
+    known = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    if df.where(F.col(id_col).isNull()).select(id_col).isEmpty():
+        return known
+    row = [F.col("`" + c.replace("`", "``") + "`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.when(F.col(id_col).isNull(), F.md5(F.concat(F.lit("null "), F.xxhash64(*row).cast("string")))).otherwise(known)
 
 
 def derived_parts(counts: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -92,7 +99,7 @@ def schedule(df: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     if parts is not None and sum(parts.values()) != period:
         raise ValueError(f"parts must sum to the period of {period}")
     out = free_name(df.columns, out)
-    md5 = _md5(F.col(id_col))
+    md5 = _md5(df, id_col)
     cells = df.select(F.col(source_col).alias("source"), F.substring(md5, 1, 3).alias("bucket")).groupBy("source", "bucket").agg(F.count("*").alias("n"))
     ahead = cells.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counts = cells.groupBy("source").agg(F.sum("n").alias("n"))

@@ -59,3 +59,16 @@ def test_columns_of_the_same_name_stay(spark):
     got = made.collect()
     assert sorted(tuple(r)[:4] for r in got if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
     assert len({r["__mix"].slot for r in got}) == 60 and {r["mix"] for r in got} == set(range(60))
+
+
+def test_rows_without_an_id_spread(spark):
+    rows = [(None, "a", f"text {i}", {"k": i}) for i in range(600)] + [(i, "ab"[i % 2], "t", {}) for i in range(50)] + [(None, "b", "same", {})] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, `a map` map<string,int>")
+    assert df.select(M._md5(df, "doc_id").substr(1, 3).alias("b")).where("doc_id is null").distinct().count() > 500
+    made = M.schedule(df, parts={"a": 5, "b": 5}, period=10, block_docs=1)
+    got = made.collect()
+    assert len({r.mix.slot for r in got}) == len(got) == 653 and made.columns == [*df.columns, "mix"]
+    for s in "ab":  # blocks without a gap
+        assert sorted(r.mix.block for r in got if r.source == s) == list(range(sum(r[1] == s for r in rows)))
+    again = M.schedule(df.repartition(3), parts={"a": 5, "b": 5}, period=10, block_docs=1).collect()
+    assert {(r.text, r.mix.slot) for r in got if r.text != "t"} == {(r.text, r.mix.slot) for r in again if r.text != "t"}
