@@ -412,6 +412,25 @@ def test_text_format_of_hubs(spark, tmp_path, monkeypatch):
     assert rows(again.side().nodes, "id", "degree") == rows(g.side().nodes, "id", "degree")
 
 
+def test_text_format_over_many_files(spark, tmp_path):
+    """The files of a folder are read in the order of their part numbers, whatever their sizes."""
+    _, g = random_graph(spark)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        write_adjacency_hypergraph(g, f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset(key)
+    assert len(list((tmp_path / "out").glob("part-*"))) > 2
+    again = read_adjacency_hypergraph(spark, f"file://{tmp_path}/out")
+    assert lists(again.side().arcs) == lists(g.side().arcs)
+    assert rows(again.side("vertex").nodes, "id", "degree") == rows(g.side("vertex").nodes, "id", "degree")
+    (tmp_path / "own").mkdir()
+    for name, text in {"a": "AdjacencyHypergraph", "part-99999": "2 3", "part-100000": "2 3\n0 2\n" + "0\n1\n" + " " * 99, "part-100001": "1", "part-100002-x": "0 1 0\n0\n1"}.items():
+        (tmp_path / "own" / name).write_text(text)
+    assert lists(read_adjacency_hypergraph(spark, f"file://{tmp_path}/own").side().arcs) == {0: [0], 1: [0, 1]}
+
+
 def test_null_ends_are_ignored(spark):
     df = spark.createDataFrame([(0, 1), (None, 1), (2, None), (2, 0), (None, None)], "edge long, vertex long")
     g = Hypergraph.from_incidence(df, "edge", "vertex")
